@@ -1,7 +1,8 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
+from docmeter.llm.language import op10_language
 from docmeter.llm.toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_toxicity,)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op10_language)}
 
 ORACLES: dict[str, str] = {}
