@@ -1,9 +1,10 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
 from docmeter.llm.language import op10_language
+from docmeter.llm.ogg import op4_ogg_media
 from docmeter.llm.quality import op7_quality
 from docmeter.llm.toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op7_quality, op10_language)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_ogg_media, op7_quality, op10_language)}
 
 ORACLES: dict[str, str] = {}
