@@ -1,5 +1,6 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
+from docmeter.llm.decontaminate import OP9_SQL, op9_decontaminate
 from docmeter.llm.language import op10_language
 from docmeter.llm.ogg import op4_ogg_media
 from docmeter.llm.quality import op7_quality
@@ -7,6 +8,6 @@ from docmeter.llm.simhash import op5_simhash
 from docmeter.llm.toxicity import op3_toxicity
 from docmeter.llm.warc import OP1_SQL, op1_warc
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_toxicity, op4_ogg_media, op5_simhash, op7_quality, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_toxicity, op4_ogg_media, op5_simhash, op7_quality, op9_decontaminate, op10_language)}
 
-ORACLES: dict[str, str] = {"op1_warc": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op9_decontaminate": OP9_SQL}
