@@ -44,7 +44,7 @@ LAST = np.iinfo(np.int64).max
 class Settings:
     length: int = 50
     gram: int = 24
-    block_bytes: int = 8 << 20
+    block_bytes: int = 4 << 20
     range_bytes: int = 16 << 20
     frequent: int = 2000
 
@@ -96,17 +96,14 @@ def from_block(docs: bytes) -> pa.Table:
 
 
 def least_gram(h: np.ndarray, width: int) -> np.ndarray:
-    """For every window of `width` hashes, the place of the least (the leftmost of equal ones)."""
-    place = np.arange(len(h), dtype=np.int32)
+    """For every window of `width` hashes, the place of the least by its upper 32 bits (the leftmost of equal ones)."""
+    key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     span = 1
     while span < width:
         step = min(span, width - span)
-        left, right = h[: len(h) - step], h[step:]
-        smaller = right < left
-        h = np.where(smaller, right, left)
-        place = np.where(smaller, place[step:], place[: len(place) - step])
+        key = np.minimum(key[: len(key) - step], key[step:])
         span += step
-    return place
+    return (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def entries(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
@@ -115,17 +112,24 @@ def entries(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndar
     if len(data) < s.length:
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     hashes = Substrings(data)
-    at = np.arange(len(data) - s.gram + 1)
-    grams = hashes(at, at + s.gram)
+    last = len(data) - s.gram + 1
+    grams = mixed((hashes.sums[s.gram :] - hashes.sums[:last]) * hashes.back[:last])
     place = least_gram(grams, s.length - s.gram + 1)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(place)]
-    valid = np.flatnonzero(np.arange(len(place)) + s.length <= offsets[text + 1])
-    if not len(valid):
+    whole = np.ones(len(place), bool)
+    for end in offsets[1:].tolist():  # windows that would cross into the next text
+        whole[max(0, end - s.length + 1) : end] = False
+    new = np.append(True, place[1:] != place[:-1])
+    new[1:] |= ~whole[:-1]
+    lo = np.flatnonzero(new & whole)
+    if not len(lo):
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    anchor = place[valid].astype(np.int64)
-    new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1] + 1)))
-    lo, hi = valid[new], valid[np.append(new[1:], len(valid)) - 1]
-    return anchor[new], lo, hi, text[lo], grams[anchor[new]], hashes(lo, hi + s.length)
+    ends = new.copy()
+    ends[:-1] = new[1:]
+    ends[:-1] |= ~whole[1:]
+    ends[-1] = True
+    hi = np.flatnonzero(ends & whole)
+    anchor = place[lo]
+    return anchor, lo, hi, np.searchsorted(offsets, lo, side="right") - 1, grams[anchor], hashes(lo, hi + s.length)
 
 
 def block_entries(docs: pa.Table, s: Settings) -> tuple[np.ndarray, ...]:
@@ -133,7 +137,7 @@ def block_entries(docs: pa.Table, s: Settings) -> tuple[np.ndarray, ...]:
     column = docs.column("text").chunk(0) if docs.num_rows else pa.array([], pa.string())
     ids = docs.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy()
     parts, base = [], 0
-    for i, _, offsets, data in text_slices(column):
+    for i, _, offsets, data in text_slices(column, 1 << 19):
         a, lo, hi, text, gram, kind = entries(data, offsets, s)
         parts.append((a + base, lo + base, hi + base, ids[i + text], gram, kind))
         base += len(data)
@@ -141,7 +145,7 @@ def block_entries(docs: pa.Table, s: Settings) -> tuple[np.ndarray, ...]:
 
 
 def all_bytes(docs: pa.Table) -> np.ndarray:
-    return np.concatenate([data for _, _, _, data in text_slices(docs.column("text").chunk(0))] or [np.zeros(0, np.uint8)]) if docs.num_rows else np.zeros(0, np.uint8)
+    return np.concatenate([data for _, _, _, data in text_slices(docs.column("text").chunk(0), 1 << 23)] or [np.zeros(0, np.uint8)]) if docs.num_rows else np.zeros(0, np.uint8)
 
 
 def classes(kind: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -487,7 +491,7 @@ def removed_bytes(docs: pa.Table, found: list[tuple[np.ndarray, np.ndarray]], s:
 
 
 def without_repeats(documents: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """documents (doc_id, text, further columns kept) with n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes)."""
+    """documents (doc_id, text, further columns kept) with n_bytes, n_removed, n_spans, kept_sha256 and kept_text (a character that is cut in two goes whole)."""
     blocks = to_blocks(documents, s)
     size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     spark = documents.sparkSession
@@ -507,14 +511,14 @@ def without_repeats(documents: DataFrame, s: Settings = Settings()) -> DataFrame
                 g = gone[i:j]
                 kept = data[i:j][~g].tobytes()
                 spans = int(np.count_nonzero(g[1:] & ~g[:-1]) + (len(g) > 0 and bool(g[0])))
-                for column, x in zip(out, (int(j - i), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                for column, x in zip(out, (int(j - i), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")), strict=True):
                     column.append(x)
             at += int(offsets[-1])
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        return pa.table([*(docs.column(n) for n in names), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        return pa.table([*(docs.column(n) for n in names), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return blocks.select("block", "docs").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(task, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return blocks.select("block", "docs").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(task, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
