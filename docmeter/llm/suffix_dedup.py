@@ -157,7 +157,7 @@ def classes(kind: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _short(gram: np.ndarray) -> np.ndarray:
-    return gram >> np.uint64(24)  # 40 bits; a collision only keeps an entry longer
+    return mixed(gram) >> np.uint64(24)  # least hashes are small ones: mixed again, they spread evenly. 40 bits; a collision only keeps an entry longer
 
 
 # 1. which grams occur in two documents
