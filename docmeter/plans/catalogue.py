@@ -1,9 +1,6 @@
 """Every registered query with its DuckDB SQL."""
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from docmeter.plans import accounts, retrieval  # noqa: F401  they register their queries
+from docmeter.plans.base import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "h2_hybrid_retrieve"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
