@@ -457,7 +457,7 @@ def st4_daily_cost(spark: SparkSession, d: str) -> DataFrame:
     return streams.daily_cost(records(spark, d)).select("user_id", text.day_key(F.col("day")).alias("day"), F.round("cost", 4).alias("cost"), "records")
 
 
-@query("WITH m AS (SELECT user_id, ts AS at, 1 AS d FROM events UNION ALL SELECT user_id, ts + INTERVAL 3 HOUR, -1 FROM events), r AS (SELECT user_id, sum(d) OVER (PARTITION BY user_id ORDER BY at, d ROWS UNBOUNDED PRECEDING) AS n FROM m) SELECT user_id, CAST(max(n) AS BIGINT) AS most, max(n) > 2 AS over_cap FROM r GROUP BY user_id")
+@query("WITH m AS (SELECT user_id, ts AS tm, 1 AS d FROM events UNION ALL SELECT user_id, ts + INTERVAL 3 HOUR, -1 FROM events), r AS (SELECT user_id, sum(d) OVER (PARTITION BY user_id ORDER BY tm, d ROWS UNBOUNDED PRECEDING) AS n FROM m) SELECT user_id, CAST(max(n) AS BIGINT) AS most, max(n) > 2 AS over_cap FROM r GROUP BY user_id")
 def st9_in_flight(spark: SparkSession, d: str) -> DataFrame:
     """ST9: every request runs three hours."""
     return streams.in_flight(read(spark, d, "events").select("user_id", F.col("ts").alias("start"), (F.col("ts") + F.expr("interval 3 hours")).alias("end")))
