@@ -92,6 +92,16 @@ def from_block(docs: bytes) -> pa.Table:
     return pa.ipc.open_stream(docs).read_all().combine_chunks()
 
 
+def loose(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """The column with nullable fields inside its structs, as Spark declares what comes back."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    if not pa.types.is_struct(column.type):
+        return column
+    parts = [loose(part) for part in column.flatten()]
+    return pa.StructArray.from_arrays(parts, fields=[pa.field(f.name, p.type) for f, p in zip(column.type, parts, strict=True)], mask=column.is_null())
+
+
 # anchors and entries
 
 
@@ -515,7 +525,7 @@ def without_repeats(documents: DataFrame, s: Settings = Settings()) -> DataFrame
                     column.append(x)
             at += int(offsets[-1])
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        return pa.table([*(docs.column(n) for n in names), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+        return pa.table([*(loose(docs.column(n)) for n in names), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
     return blocks.select("block", "docs").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(task, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
