@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -14,7 +15,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(df):
     df = df[sorted(df.columns)]
-    cell = lambda v: "NULL" if v is None or v is pd.NA or v is pd.NaT or v != v else repr(round(v, 5) + 0.0) if isinstance(v, float) else str(v)
+    number = lambda v: isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_))
+    cell = lambda v: "NULL" if v is None or v is pd.NA or v is pd.NaT or v != v else repr(round(float(v), 5) + 0.0) if number(v) else str(v)
     return sorted(tuple(cell(v) for v in r) for r in df.itertuples(index=False))
 
 
