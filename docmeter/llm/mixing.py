@@ -8,17 +8,22 @@ sum_i r_i n_i p_ik (n: tokens) and the targets (shares of the total tokens), rel
 gradient steps from r = 1. Steps are scaled by 1 / n_i, so that a document's rate follows from its posteriors and not from
 its length, and all steps together are the sum of the residuals so far: after each pass the K residuals alone go to the
 driver, and every task computes r_i = max(0, ...) step by step from them. The table of posteriors is written once.
+Such steps are slow for a domain that is rare beside the largest, so after `steps` of them the K residuals are scaled by the
+inverse of the K x K Gram matrix of the documents with a rate over 0, and such a step is halved until the distance falls.
+If the targets are not met within `close` even so (they can be out of reach), a warning names the residual that is left.
 
 Null and empty texts have no tokens: their posterior is the prior, they add nothing to the totals. Labels without a target
-form a domain with target 0 only if `others` is set; else they are not learned from. A target for a domain that no label
-has is an error. With no labelled row every rate is 1. Repeated rows and null ids keep their rows.
+are not learned from. A domain with a target and no label is known by its prior alone, so its target is seldom met. With no
+labelled row every rate is 1. Repeated rows and null ids keep their rows.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +39,7 @@ class Settings:
     cells: int = 4096
     sharpness: float = 6.0  # words of evidence that the average log-likelihood counts for
     steps: int = 60
+    scaled_steps: int = 60  # passes at most with steps scaled by the Gram matrix
     close: float = 1e-4  # relative distance to the targets at which the steps end
 
 
@@ -93,13 +99,33 @@ def fit(members: DataFrame, targets: list[float], s: Settings) -> tuple[list[lis
     # the largest eigenvalue is at most the largest row sum
     step = 1.0 / max(sum(first[f"g{i}_{j}"] for j in range(k)) / total for i in range(k))
     residuals: list[list[float]] = []
-    for _ in range(s.steps):
-        members_rate = members.withColumn("r", rate(residuals, step))
-        row = members_rate.agg(*(F.sum(F.col("r") * n * F.col("p")[i]).alias(f"t{i}") for i in range(k))).first()
-        off = [targets[i] - row[f"t{i}"] / total for i in range(k)]
-        if max(map(abs, off)) <= s.close:
+
+    def measured(scaled: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """What is missing to the targets, and for scaled steps the Gram matrix of the documents with a rate over 0."""
+        kept = F.when(F.col("r") > 0, n).otherwise(0.0)
+        grams = [F.sum(kept * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k) if scaled]
+        row = members.withColumn("r", rate(residuals, step)).agg(*(F.sum(F.col("r") * n * F.col("p")[i]).alias(f"t{i}") for i in range(k)), *grams).first()
+        return np.array([targets[i] - row[f"t{i}"] / total for i in range(k)]), np.array([[row[f"g{i}_{j}"] for j in range(k)] for i in range(k)]) / total if scaled else None
+
+    off, _ = measured(False)
+    for nth in range(s.steps):
+        if np.abs(off).max() <= s.close:
+            return residuals, step
+        residuals.append(off.tolist())
+        off, now = measured(nth == s.steps - 1)
+    share, pull = 1.0, np.linalg.lstsq(now, off, rcond=1e-9)[0]
+    for _ in range(s.scaled_steps):
+        if np.abs(off).max() <= s.close or share < 1e-4:
             break
-        residuals.append(off)
+        residuals.append((share * pull / step).tolist())
+        new, gram_ = measured(True)
+        if new @ new < off @ off:
+            off, share, pull = new, min(1.0, 2 * share), np.linalg.lstsq(gram_, new, rcond=1e-9)[0]
+        else:
+            residuals.pop()
+            share /= 2
+    if np.abs(off).max() > s.close:
+        warnings.warn(f"mixing: the targets are not met; left residuals {[round(float(x), 6) for x in off]} of all tokens", stacklevel=2)
     return residuals, step
 
 
