@@ -65,12 +65,11 @@ def classifier(documents: DataFrame, labelled: DataFrame, domains: list[str], s:
 def posteriors(documents: DataFrame, weights: DataFrame, prior: list[float], s: Settings) -> DataFrame:
     """documents(doc_id, text) -> (doc_id, hash, n_tokens, times, p): p sums to 1."""
     k = len(prior)
-    docs = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), words("text").alias("w"))
-    cells = docs.select("doc_id", "hash", F.explode("w").alias("word")).select("doc_id", "hash", _cell(F.col("word"), s).alias("cell"))
-    met = cells.join(F.broadcast(weights.select("cell", *(F.col("weights")[i].alias(f"l{i}") for i in range(k)))), "cell")  # `cells` rows
-    empty = docs.select("doc_id", "hash", F.lit(None).cast("int").alias("cell"), *(F.lit(0.0).alias(f"l{i}") for i in range(k)), F.lit(1).alias("row"))
-    both = met.select("doc_id", "hash", "cell", *(f"l{i}" for i in range(k)), F.lit(0).alias("row")).unionByName(empty)
-    summed = both.groupBy("doc_id", "hash").agg(F.count("cell").alias("words"), F.sum("row").alias("times"), *(F.sum(f"l{i}").alias(f"l{i}") for i in range(k)))
+    docs = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.posexplode_outer(words("text")).alias("nth", "word"))
+    # a text's first word, or the null in place of words, stands for the row
+    cells = docs.select("doc_id", "hash", (F.coalesce("nth", F.lit(0)) == 0).cast("int").alias("row"), F.when(F.col("word").isNotNull(), _cell(F.col("word"), s)).alias("cell"))
+    met = cells.join(F.broadcast(weights.select("cell", *(F.col("weights")[i].alias(f"l{i}") for i in range(k)))), "cell", "left")  # `cells` rows
+    summed = met.groupBy("doc_id", "hash").agg(F.count("cell").alias("words"), F.sum("row").alias("times"), *(F.coalesce(F.sum(f"l{i}"), F.lit(0.0)).alias(f"l{i}") for i in range(k)))
     # repeated rows: their words were counted together
     scaled = F.array(*(F.lit(prior[i]) + F.lit(s.sharpness) * F.col(f"l{i}") / F.greatest("words", F.lit(1)) for i in range(k)))
     top = F.transform("z", lambda z: F.exp(z - F.array_max("z")))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmeter.llm.byteops import Substrings, mixed, runs, text_slices
+from docmeter.llm.byteops import Substrings, frugal, mixed, runs, text_slices
 from docmeter.llm.shared import joined, learn_fold, table
 
 TOKEN = np.full(256, 2, np.uint8)
@@ -80,7 +80,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Rec
 def word_vectors(documents: DataFrame, s: Settings) -> np.ndarray:
     """Word vectors of all cells, from every text."""
     columns = [f"c{k}" for k in range(s.dims)]
-    sums = documents.select("text").mapInArrow(lambda b: _contexts(b, s), "cell long, " + ", ".join(f"{c} double" for c in columns)).groupBy("cell").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()  # 2**bits rows at most
+    sums = documents.select("text").mapInArrow(frugal(lambda b: _contexts(b, s)), "cell long, " + ", ".join(f"{c} double" for c in columns)).groupBy("cell").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()  # 2**bits rows at most
     vectors = np.zeros((1 << s.bits, s.dims))
     vectors[sums["cell"]] = sums[columns]
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
@@ -167,7 +167,7 @@ def score(spark: SparkSession, documents: DataFrame, labels: DataFrame, s: Setti
             x = pooled(batch.column("text"), shared.value, s)
             yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("doc_id"), pa.array([v.tobytes() for v in x], pa.binary())], names=["quality", "doc_id", "v"])
 
-    rows = joined(documents.select("doc_id", "text"), picked, "doc_id", limit=s.fit_rows).select("quality", F.xxhash64("doc_id").alias("doc_id"), "text").mapInArrow(pool, "quality long, doc_id long, v binary").toPandas().sort_values(["doc_id", "v"])
+    rows = joined(documents.select("doc_id", "text"), picked, "doc_id", limit=s.fit_rows).select("quality", F.xxhash64("doc_id").alias("doc_id"), "text").mapInArrow(frugal(pool), "quality long, doc_id long, v binary").toPandas().sort_values(["doc_id", "v"])
     y = rows["quality"].to_numpy(float)
     net, constant = None, float(y.mean()) if len(y) else 0.5
     if 0 < y.sum() < len(y):
@@ -186,7 +186,7 @@ def score(spark: SparkSession, documents: DataFrame, labels: DataFrame, s: Setti
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept) + 1)), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return documents.withColumn("held_out", F.coalesce(learn_fold() == 1, F.lit(False))).mapInArrow(rate, f"{schema}, held_out boolean, score double, predicted int")
+    return documents.withColumn("held_out", F.coalesce(learn_fold() == 1, F.lit(False))).mapInArrow(frugal(rate), f"{schema}, held_out boolean, score double, predicted int")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

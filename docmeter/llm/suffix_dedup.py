@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmeter.llm.byteops import Substrings, mixed, text_slices
+from docmeter.llm.byteops import Substrings, frugal, frugal_group, frugal_pair, mixed, text_slices
 from docmeter.llm.shared import table, written
 
 LAST = np.iinfo(np.int64).max
@@ -85,7 +85,7 @@ def to_blocks(documents: DataFrame, s: Settings) -> DataFrame:
         if held:
             yield out()
 
-    return written(documents.mapInArrow(task, "block long, n_bytes long, docs binary"), "blocks")
+    return written(documents.mapInArrow(frugal(task), "block long, n_bytes long, docs binary"), "blocks")
 
 
 def from_block(docs: bytes) -> pa.Table:
@@ -203,7 +203,7 @@ def gram_runs(blocks: DataFrame, ranges: int, s: Settings) -> DataFrame:
                     names=["range", "block", "hashes", "counts", "sample"],
                 )
 
-    return blocks.select("block", "docs").mapInArrow(task, "range long, block long, hashes binary, counts binary, sample binary")
+    return blocks.select("block", "docs").mapInArrow(frugal(task), "range long, block long, hashes binary, counts binary, sample binary")
 
 
 def shared_grams(runs: DataFrame, s: Settings) -> DataFrame:
@@ -221,7 +221,7 @@ def shared_grams(runs: DataFrame, s: Settings) -> DataFrame:
         value = (short << np.uint64(1)) | often[which].astype(np.uint64)
         return pa.table({"block": group.column("block"), "hashes": pa.array([pack(np.diff(value[(owner == k) & kept], prepend=np.uint64(0))) for k in range(len(hashes))], pa.binary())})
 
-    return runs.select("range", "block", "hashes", "counts").groupBy("range").applyInArrow(task, "block long, hashes binary")
+    return runs.select("range", "block", "hashes", "counts").groupBy("range").applyInArrow(frugal_group(task), "block long, hashes binary")
 
 
 def splitters(runs: DataFrame, ranges: int, s: Settings, most: int = 4096) -> list[bytes]:
@@ -370,7 +370,7 @@ def suffix_runs(blocks: DataFrame, grams: DataFrame, cuts: list[bytes], ranges:
         return rows
 
     schema = "kind int, range long, block long, body binary"
-    return blocks.select("block", "docs").groupBy("block").cogroup(grams.groupBy("block")).applyInArrow(task, schema)
+    return blocks.select("block", "docs").groupBy("block").cogroup(grams.groupBy("block")).applyInArrow(frugal_pair(task), schema)
 
 
 def _joined(*arrays: np.ndarray) -> bytes:
@@ -473,7 +473,7 @@ def masks(runs: DataFrame, s: Settings) -> DataFrame:
                 out.append((block, pack(part[2][some]), pack((1 << part[3][some].astype(np.uint32)).astype(np.uint32))))
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["block", "classes", "masks"])
 
-    return runs.groupBy("kind", "range").applyInArrow(task, "block long, classes binary, masks binary")
+    return runs.groupBy("kind", "range").applyInArrow(frugal_group(task), "block long, classes binary, masks binary")
 
 
 # 3. removal
@@ -528,7 +528,7 @@ def without_repeats(documents: DataFrame, s: Settings = Settings()) -> DataFrame
         return pa.table([*(loose(docs.column(n)) for n in names), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return blocks.select("block", "docs").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(task, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return blocks.select("block", "docs").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(frugal_pair(task), f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
