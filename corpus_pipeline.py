@@ -19,13 +19,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmeter.llm import decontaminate, mixing, quality, simhash, suffix_dedup
 from docmeter.llm.shared import joined, table, written
 
-ROW = "carried_row"
+ROW, NTH = "carried_row", "carried_nth"
 
 
 def carried(docs: DataFrame) -> DataFrame:
@@ -49,7 +49,10 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     once = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     kept = joined(docs, first, "doc_id", "left_semi")
-    return kept if once.isEmpty() else kept.dropDuplicates(["doc_id"])
+    if once.isEmpty():
+        return kept
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.sha2("text", 256)))  # of several texts of one id always the same one
+    return kept.withColumn(NTH, nth).where(F.col(NTH) == 1).drop(NTH)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +72,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     listed = table(spark, sf_dir, "labels").where("doc_id is not null").select("doc_id").distinct()
     labelled = joined(docs.where("lang is not null").select("doc_id", F.col("lang").alias("domain")), listed, "doc_id", "left_semi")
-    rates = mixing.mix(docs.select("doc_id", "text"), labelled, mixing.TARGETS).select("doc_id", F.struct("n_tokens", "rate").alias("mixed")).dropDuplicates(["doc_id"])
+    rates = mixing.mix(docs.select("doc_id", "text"), labelled, mixing.TARGETS).groupBy("doc_id").agg(F.max(F.struct("n_tokens", "rate")).alias("mixed"))
     both = docs.join(rates, "doc_id", "left")
     part = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     rate = F.col("mixed.rate")
