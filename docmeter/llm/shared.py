@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which the small side of a join (a few numbers a row) is broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Spark's setting for shuffle files: whether they go at the end of the query that made them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +34,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: cuts the lineage, survives lost executors, and gives the planner true sizes."""
+    """df written as a table in the shared folder and read back: cuts the lineage, survives lost executors, and gives the planner true sizes.
+
+    The write's shuffle files go when it ends, as nothing reads them after it. forget() deletes the table.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that written() returned and that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def joined(large: DataFrame, small: DataFrame, on: str, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
