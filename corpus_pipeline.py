@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmeter.llm import decontaminate, mixing, quality, simhash, suffix_dedup
-from docmeter.llm.shared import joined, table, written
+from docmeter.llm.shared import forget, joined, table, written
 
 ROW, NTH = "carried_row", "carried_nth"
 
@@ -96,5 +96,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        last, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if name != STAGES[0][0]:
+            forget(last)
     return docs
