@@ -1,21 +1,23 @@
 """Toxicity by class-conditional Kneser-Ney models of words.
 
-An event is a word's next byte after the word's bytes so far (its end counts as a byte), so a word's probability is a
-product over its prefixes up to `depth` bytes. Each class discounts its own counts; the mass that the discount frees
-goes to backoff counts that both classes share (how many different prefixes end in the last three bytes, given the two
-before). An expression that neither class has seen therefore adds nothing, and a rare one is smoothed alike in both.
+An event is a word's next byte (or its end) after the word's bytes so far, at most `depth` - 1 of them, so a word's
+probability is a product over all its bytes, however many. Each class discounts its own counts; the mass that the
+discount frees goes to backoff counts that both classes share: the pooled counts after the same bytes, discounted in
+turn in favour of how many different events end in the last three bytes, given the two before. An expression that neither
+class has seen therefore adds nothing, and a rare one is smoothed alike in both.
 
-Counts are gathered from all labelled rows by the learning rule. The log-likelihood ratio of each prefix then goes to
-one of 2**`bits` cells, a table of fixed size which tasks read when they score texts; a colliding cell holds the ratio
-of the prefix with most counts.
+Counts are gathered from all labelled rows by the learning rule, and every word of the corpus gets its log-likelihood
+ratio from them: tables with a row for each different word and event, which are joined by 64-bit hashes and grow with
+the input.
 
-A text's score compares the two classes' log-likelihoods per word: the mean of the words' log ratios beyond `margin`
-(words that say little either way are left out, as their sum follows style and length instead), then a logistic
-calibration on a part of the learning rows which the counts leave out.
+A text's score compares the two classes' log-likelihoods per word: the mean of the words' log ratios as far as they are
+beyond `margin` on either side (words that say little either way follow style instead), then a logistic calibration on a
+part of the learning rows which the counts leave out.
 
 Null and empty texts have no words and get the score at ratio 0. Null or repeated labels: null is not learned from, a
 repeated label of one id counts once (the largest). Repeated rows are scored alike. With no labels of either class
-every score is 0.5. A null doc_id is kept, scored, and never learned from (held_out null becomes false).
+every score is 0.5. A null doc_id is kept, scored, and never learned from (held_out null becomes false). Columns other
+than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmeter.llm.byteops import FOLD, Substrings, mixed, runs, text_slices
-from docmeter.llm.shared import joined, learn_fold, table, written
+from docmeter.llm.byteops import BASE, FOLD, Substrings, frugal, mixed, runs, text_slices
+from docmeter.llm.shared import forget, joined, learn_fold, table, written
 
 WORD = np.zeros(256, np.uint8)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -38,91 +40,134 @@ WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 @dataclass(frozen=True)
 class Settings:
     depth: int = 12
-    bits: int = 22
     discount: float = 0.75
-    margin: float = 2.0
+    margin: float = 4.0
+    steady: int = 50  # words without evidence that are counted to every text, so that a few words alone decide little
     calibration_part: int = 4  # one learning row in so many calibrates and is not counted
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, Substrings, np.ndarray, np.ndarray, np.ndarray]:
-    """Folded bytes (with one that stands for a word's end), start and length of each different word, hashes, which word each one is, and the words' text numbers."""
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Folded bytes, key, start and length of each different word, which word each one is, and the words' text numbers."""
     low = FOLD[data]
     start, end, _, text = runs(low, offsets, WORD)
-    low = np.append(low, np.uint8(0))
-    hashes = Substrings(low)
-    _, first, which = np.unique(hashes.raw(start, end), return_index=True, return_inverse=True)
-    return low, start[first], (end - start)[first], hashes, which, text
+    key, first, which = np.unique(Substrings(low)(start, end), return_index=True, return_inverse=True)
+    return low, key, start[first], (end - start)[first], which, text
+
+
+def events(low: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of words as bytes: key, parent (the bytes before), last three bytes and word number of every event."""
+    length = np.diff(offsets)
+    n = length + 1
+    word = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+    at = offsets[:-1][word] + nth
+    byte = np.where(nth == length[word], 0, np.append(low, np.uint8(0))[at]).astype(np.int64)
+    back = np.minimum(nth, depth - 1)
+    parent = mixed(Substrings(low).raw(at - back, at) * np.uint64(2) + (back == nth).astype(np.uint64) + np.uint64(1))
+    key = mixed(parent + (byte.astype(np.uint64) + np.uint64(1)) * BASE)
+    before = lambda k: np.where(nth >= k, low[np.maximum(at - k, 0)], 0).astype(np.int64)
+    return key, parent, (before(2) << 16) | (before(1) << 8) | byte, word
+
+
+def _word_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        label = batch.column("counted").to_numpy(zero_copy_only=False)
+        toxic, ordinary = (label == 1).astype(np.int64), (label == 0).astype(np.int64)
+        for i, j, offsets, data in text_slices(batch.column("text"), 1 << 22):
+            low, key, start, length, which, text = words(data, offsets)
+            if not len(key):
+                continue
+            t, o = (np.bincount(which, x[i:j][text], len(key)).astype(np.int64) for x in (toxic, ordinary))
+            whole = low.tobytes()
+            text_of = pa.array([whole[a : a + n] for a, n in zip(start.tolist(), length.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), text_of, pa.array(t), pa.array(o)], names=["word", "bytes", "t", "o"])
 
 
-def prefixes(low: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: Substrings, depth: int) -> tuple[np.ndarray, ...]:
-    """Prefixes of the given words: key, first byte's place, bytes in it, word number."""
-    events = np.minimum(length + 1, depth)
-    word = np.repeat(np.arange(len(start)), events)
-    nth = np.arange(len(word)) - np.repeat(np.cumsum(events) - events, events) + 1
-    at = start[word]
-    ends = nth > length[word]  # these are whole words
-    key = hashes.raw(at, at + nth - ends)
-    return mixed(np.where(ends, key * np.uint64(3) + np.uint64(7), key) + np.uint64(1)), at, nth, ends, word
+def corpus_words(rows: DataFrame) -> DataFrame:
+    """rows(text, counted: 1 toxic, 0 ordinary, else not counted) -> (word, bytes, t, o) of every different word."""
+    part = rows.select("text", F.coalesce("counted", F.lit(-1)).alias("counted")).mapInArrow(frugal(_word_task), "word long, bytes binary, t long, o long")
+    return part.groupBy("word").agg(F.first("bytes").alias("bytes"), F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
-def _count_task(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        label = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-        for i, j, offsets, data in text_slices(batch.column("text"), 1 << 22):
-            low, start, length, hashes, which, text = words(data, offsets)
-            if not len(start):
-                continue
-            all_, toxic = np.bincount(which, minlength=len(start)), np.bincount(which, label[i:j][text], len(start))
-            key, at, nth, ends, word = prefixes(low, start, length, hashes, depth)
-            uniq, first, back = np.unique(key, return_index=True, return_inverse=True)
-            n, t = (np.bincount(back, x[word], len(uniq)).astype(np.int64) for x in (all_, toxic))
-            at, nth, ends = at[first], nth[first], ends[first]
-            parent = mixed(hashes.raw(at, at + nth - 1) + np.uint64(1))
-            before = lambda k: np.where(nth > k, low[np.maximum(at + nth - 1 - k, 0)], 0).astype(np.int64)  # noqa: B023, E731
-            tri = (before(2) << 16) | (before(1) << 8) | np.where(ends, 0, before(0))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uniq.view(np.int64), parent.view(np.int64), tri, t, n - t)], names=["key", "parent", "tri", "t", "o"])
-
-
-def counts(train: DataFrame, s: Settings) -> DataFrame:
-    """Counts (t, o) of every prefix in toxic and ordinary learning texts."""
-    part = train.select("text", "toxic").mapInArrow(lambda b: _count_task(b, s.depth), "key long, parent long, tri long, t long, o long")
+def counts(known: DataFrame, s: Settings) -> DataFrame:
+    """Counts (t, o) of every event in toxic and ordinary learning texts, from the words' counts."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, o = (batch.column(c).to_numpy() for c in ("t", "o"))
+            for i, j, offsets, data in text_slices(batch.column("bytes")):
+                key, parent, tri, word = events(data, offsets, s.depth)
+                uniq, first, back = np.unique(key, return_index=True, return_inverse=True)
+                sums = [np.bincount(back, x[i:j][word], len(uniq)).astype(np.int64) for x in (t, o)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uniq.view(np.int64), parent[first].view(np.int64), tri[first], *sums)], names=["key", "parent", "tri", "t", "o"])
+
+    part = known.select("bytes", "t", "o").mapInArrow(frugal(task), "key long, parent long, tri long, t long, o long")
     return part.groupBy("key").agg(F.first("parent").alias("parent"), F.first("tri").alias("tri"), F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
 def ratios(count: DataFrame, s: Settings) -> DataFrame:
-    """Cell and log ratio of every prefix: both classes discounted, shared backoff counts below."""
+    """Log ratio of every counted event (key, ratio). One that no class has counted has none: what is freed after its context says how much text the classes have."""
     seen = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    parents = count.groupBy("parent").agg(F.sum("t").alias("pt"), F.sum("o").alias("po"), seen("t").alias("kt"), seen("o").alias("ko"))
+    parents = count.groupBy("parent").agg(F.sum("t").alias("pt"), F.sum("o").alias("po"), seen("t").alias("kt"), seen("o").alias("ko"), F.count("*").alias("k"))
     tri = count.groupBy("tri").agg(F.count("*").alias("n3"))
     two = tri.groupBy(F.expr("tri >> 8").alias("two")).agg(F.sum("n3").alias("n2"))
     backoff = tri.join(two, F.expr("tri >> 8") == F.col("two")).select("tri", ((F.col("n3") + 0.001) / (F.col("n2") + 0.256)).alias("shared"))
-    own = lambda c, p, k: F.when(F.col(p) > 0, (F.greatest(F.col(c) - s.discount, F.lit(0.0)) + s.discount * F.col(k) * F.col("shared")) / F.col(p)).otherwise(F.col("shared"))
-    ratio = count.join(parents, "parent").join(backoff, "tri").select(F.expr(f"cast(shiftrightunsigned(key, {64 - s.bits}) as int)").alias("cell"), (F.col("t") + F.col("o")).alias("n"), F.log(own("t", "pt", "kt") / own("o", "po", "ko")).cast("float").alias("ratio"))
-    return ratio.groupBy("cell").agg(F.max(F.struct("n", "ratio"))["ratio"].alias("ratio"))
+    less = lambda c: F.greatest(c - s.discount, F.lit(0.0))
+    both = F.col("pt") + F.col("po")
+    pooled = (less(F.col("t") + F.col("o")) + s.discount * F.col("k") * F.col("shared")) / both
+    own = lambda c, p, k: F.when(F.col(p) > 0, (less(F.col(c)) + s.discount * F.col(k) * F.col("pooled")) / F.col(p)).otherwise(F.col("pooled"))
+    return count.join(parents, "parent").join(backoff, "tri").withColumn("pooled", pooled).select("key", F.log(own("t", "pt", "kt") / own("o", "po", "ko")).alias("ratio"))
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([batch.column(k).to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for k in ("cell", "ratio")], names=["cell", "ratio"])
-
-
-def _measure(batch: pa.RecordBatch, cells: np.ndarray, s: Settings) -> np.ndarray:
-    """Length-normalised excess, its sum's logarithm and the largest word's ratio of each text."""
-    out = np.zeros((batch.num_rows, 3))
-    for i, j, offsets, data in text_slices(batch.column("text"), 1 << 22):
-        low, start, length, hashes, which, text = words(data, offsets)
-        if not len(start):
-            continue
-        key, _, _, _, word = prefixes(low, start, length, hashes, s.depth)
-        value = np.bincount(word, cells[(key >> np.uint64(64 - s.bits)).astype(np.int64)], len(start))
-        beyond = np.maximum(value - s.margin, 0)[which]
-        total, n = np.bincount(text, beyond, j - i), np.bincount(text, minlength=j - i)
-        out[i:j, 0] = 10 * total / (n + 50)
-        out[i:j, 1] = np.log1p(total)
-        np.maximum.at(out[i:j, 2], text, beyond / 5)
+def lexicon(found: DataFrame, s: Settings) -> DataFrame:
+    """corpus_words() -> (word, value): the log ratio of every word in which it is beyond the margin."""
+    count = written(counts(found.where("t + o > 0"), s), "toxicity-counts")
+    ratio = ratios(count, s)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word = batch.column("word").to_numpy()
+            for i, j, offsets, data in text_slices(batch.column("bytes")):
+                key, _, _, which = events(data, offsets, s.depth)
+                yield pa.RecordBatch.from_arrays([pa.array(word[i:j][which]), pa.array(key.view(np.int64))], names=["word", "key"])
+
+    each = found.select("word", "bytes").mapInArrow(frugal(task), "word long, key long")
+    value = each.join(ratio, "key").groupBy("word").agg(F.sum("ratio").alias("value"))
+    out = written(value.where(F.abs("value") > s.margin), "lexicon")
+    forget(count)
     return out
 
 
+def features(rows: DataFrame, values: DataFrame, s: Settings) -> DataFrame:
+    """rows(doc_id, text, ...) without text, with the mean log ratio per word beyond the margin."""
+    others = [c for c in rows.columns if c != "text"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, offsets, data in text_slices(batch.column("text")):
+                _, key, _, _, which, text = words(data, offsets)
+                one, times = np.unique(text * np.int64(len(key) + 1) + which, return_counts=True)
+                owner = one // (len(key) + 1)
+                ends = pa.array(np.searchsorted(owner, np.arange(j - i + 1)).astype(np.int32))
+                arrays = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (key[one % (len(key) + 1)].view(np.int64), times.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in others), *arrays], names=[*others, "word", "times"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    found = rows.mapInArrow(frugal(task), f"{schema}, word array<long>, times array<int>").withColumn("row", F.monotonically_increasing_id())
+    kept = [*others, "row", "n"]
+    each = found.withColumn("n", F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)).select(*kept, F.posexplode_outer(F.arrays_zip("word", "times")).alias("nth", "x")).select(*kept, "nth", F.col("x.word").alias("word"), F.col("x.times").alias("times"))
+    # a row's first word, or the null in place of words, keeps the row
+    met = joined(each, values, "word", "left").where("value is not null or nth = 0 or nth is null")
+    beyond = F.when(F.col("value") > 0, F.col("value") - s.margin).otherwise(F.col("value") + s.margin)
+    summed = met.groupBy(*kept).agg((F.coalesce(F.sum(beyond * F.col("times")), F.lit(0.0)) / (F.first("n") + s.steady)).alias("ratio"))
+    return summed.select(*others, "ratio")
+
+
+def shape(ratio: np.ndarray) -> np.ndarray:
+    """What the calibration reads of a text's ratio."""
+    return np.stack([10 * ratio, np.sign(ratio) * np.log1p(50 * np.abs(ratio))], axis=1)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 40) -> np.ndarray:
     """Weights (the last is the intercept) by Newton's method with a small penalty."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -138,36 +183,21 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 40
 def score(spark: SparkSession, documents: DataFrame, labels: DataFrame, s: Settings = Settings(), calibration_rows: int = 20_000) -> DataFrame:  # noqa: B008
     """documents(doc_id, text) scored after learning from labels(doc_id, toxic). Returns doc_id, held_out, score, predicted, ratio.
 
-    The calibration reads at most `calibration_rows` labelled rows (three numbers each); everything else covers all rows.
+    The calibration reads at most `calibration_rows` labelled rows (a number each); everything else covers all rows.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(learn_fold() != 1).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
-    train = joined(documents.select("doc_id", "text").where("doc_id is not null"), known, "doc_id")
     apart = F.pmod(F.xxhash64("doc_id"), F.lit(s.calibration_part)) == 0
-    cells = np.zeros(1 << s.bits, np.float32)
-    if not known.isEmpty():
-        model = ratios(written(counts(train.where(~apart), s), "toxicity-counts"), s)
-        for row in model.mapInArrow(_packed, "cell binary, ratio binary").collect():  # at most 2**bits cells in all
-            cells[np.frombuffer(row["cell"], np.int32)] = np.frombuffer(row["ratio"], np.float32)
-    shared = spark.sparkContext.broadcast(cells)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _measure(batch, shared.value, s)
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(c) for c in x.T)], names=["toxic", "a", "b", "c"])
-
-    held = train.where(apart).orderBy(F.xxhash64("doc_id", F.lit(1))).limit(calibration_rows) if known.count() > calibration_rows * s.calibration_part else train.where(apart)
-    fit = held.select("toxic", "text").mapInArrow(measure, "toxic long, a double, b double, c double").toPandas()
-    y = fit["toxic"].to_numpy(float)
-    weights = logistic(fit[["a", "b", "c"]].to_numpy(), y) if 0 < y.sum() < len(y) else np.zeros(4)
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _measure(batch, shared.value, s)
-            p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.7).astype(np.int32)), pa.array(x[:, 0] / 10)], names=["doc_id", "held_out", "score", "predicted", "ratio"])
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text", F.coalesce(learn_fold() == 1, F.lit(False)).alias("held_out")).mapInArrow(rate, f"doc_id {kind}, held_out boolean, score double, predicted int, ratio double")
+    rows = joined(documents.select("doc_id", "text"), known, "doc_id", "left").select("doc_id", "text", F.coalesce(learn_fold() == 1, F.lit(False)).alias("held_out"), F.when(apart, F.col("toxic")).alias("calibrates"), F.when(~apart, F.col("toxic")).alias("counted"))
+    found = written(corpus_words(rows), "toxicity-words")
+    values = lexicon(found, s)
+    measured = written(features(rows.drop("counted"), values, s), "toxicity-features")
+    forget(found, values)
+    fit = measured.where("calibrates is not null").orderBy(F.xxhash64("doc_id", F.lit(1)), "ratio").limit(calibration_rows).select("calibrates", "ratio").toPandas()
+    y = fit["calibrates"].to_numpy(float)
+    weights = logistic(shape(fit["ratio"].to_numpy(float)), y) if 0 < y.sum() < len(y) else np.zeros(3)
+    z = F.lit(float(weights[0])) * 10 * F.col("ratio") + F.lit(float(weights[1])) * F.signum("ratio") * F.log1p(50 * F.abs("ratio")) + F.lit(float(weights[2]))
+    p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+    return measured.select("doc_id", "held_out", p.alias("score"), (p >= 0.7).cast("int").alias("predicted"), "ratio")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
