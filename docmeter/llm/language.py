@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmeter.llm.byteops import text_slices
-from docmeter.llm.shared import learn_fold, table
+from docmeter.llm.byteops import frugal, text_slices
+from docmeter.llm.shared import learn_fold, table, without
 
 LETTER = np.zeros(256, np.uint32)
 LETTER[97:123] = np.arange(97, 123)
@@ -91,7 +91,14 @@ def _frequencies(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.R
 
 
 def predict(spark: SparkSession, documents: DataFrame, learn: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """documents(doc_id, text, further columns kept) with lang_pred, score and rejected, learned from learn(doc_id, text, lang)."""
+    """documents(doc_id, text, further columns kept) with lang_pred, score and rejected, learned from learn(doc_id, text, lang).
+
+    Columns of documents that are named like one of the results are replaced.
+    """
+    documents = without(documents, "lang_pred", "score", "rejected")
+    flag = "has_letter"
+    while flag in map(str.lower, documents.columns):
+        flag += "_"
     learn = learn.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "text", "lang")
     size = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
     n = sum(size.values())
@@ -109,7 +116,7 @@ def predict(spark: SparkSession, documents: DataFrame, learn: DataFrame, s: Sett
     if n:
         share = F.create_map(*(F.lit(v) for k, c in size.items() for v in (k, min(1.0, s.sample_rows / len(size) / c))))
         picked = learn.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1e6 < share[F.col("lang")])
-        sample = picked.select("lang", "text").mapInArrow(to_vectors, "lang string, v binary").toPandas()
+        sample = picked.select("lang", "text").mapInArrow(frugal(to_vectors), "lang string, v binary").toPandas()
         for lang in sorted(set(sample["lang"])):
             x = np.stack([np.frombuffer(v, np.float16) for v in sample["v"][sample["lang"] == lang]]).astype(np.float32)
             c = kmeans(x, s.centroids, s.rounds)
@@ -122,7 +129,7 @@ def predict(spark: SparkSession, documents: DataFrame, learn: DataFrame, s: Sett
         names, c, limit, weights = model.value
         for batch in batches:
             pred, score, rejected = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)
-            letter = batch.column("has_letter").to_numpy(zero_copy_only=False).astype(bool)
+            letter = batch.column(flag).to_numpy(zero_copy_only=False).astype(bool)
             if len(names):
                 for i, j, x in vectors(batch.column("text"), weights, s.cells):
                     cosine = x @ c.T
@@ -130,12 +137,12 @@ def predict(spark: SparkSession, documents: DataFrame, learn: DataFrame, s: Sett
                     pred[i:j], score[i:j] = names[best], np.clip(cosine[np.arange(j - i), best], 0, 1)
                     rejected[i:j] = score[i:j] < limit[best]
             pred[~letter], score[~letter], rejected[~letter] = "und", 0.0, True
-            kept = [k for k in batch.schema.names if k not in ("text", "has_letter")]
+            kept = [k for k in batch.schema.names if k not in ("text", flag)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(pred, pa.string()), pa.array(score), pa.array(rejected)], names=[*kept, "lang_pred", "score", "rejected"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name != "text")
-    asked = documents.withColumn("has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return asked.mapInArrow(nearest, f"{kept}, lang_pred string, score double, rejected boolean")
+    asked = documents.withColumn(flag, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return asked.mapInArrow(frugal(nearest), f"{kept}, lang_pred string, score double, rejected boolean")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

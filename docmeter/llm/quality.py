@@ -7,13 +7,13 @@ tokens' vectors, with that mean's length, the logarithm of the token count, the
 token length.
 
 The network (one hidden layer of tanh units, logistic output, both in numpy) is fitted with Adam on at most `fit_rows`
-learning rows, picked by a hash of the id. A temperature, fitted on a tenth of them that the weights never see,
-calibrates its probabilities. The scores are scaled so that 0.5 is where the calibrated probability equals the cut that
-gives the best balanced accuracy on that tenth.
+learning rows, picked by a hash of the id, both classes with equal weight. A temperature and a shift, fitted by log-loss on
+a tenth of them that the weights never see, calibrate its probabilities; `predicted` is 1 from a probability of 0.5 on.
 
 Null and empty texts have the zero vector and a defined score. Null labels are not learned from; of repeated labels of
 one id the largest counts. Repeated rows are scored alike. A null doc_id is scored and never learned from. With labels
-of one class only, or none, every score is that class's share, or 0.5.
+of one class only, or none, every score is that class's share, or 0.5. Columns of documents that are named like one of
+the results (in any case) are replaced by it.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmeter.llm.byteops import Substrings, frugal, mixed, runs, text_slices
-from docmeter.llm.shared import joined, learn_fold, table
+from docmeter.llm.shared import joined, learn_fold, table, without
 
 TOKEN = np.full(256, 2, np.uint8)
 TOKEN[: 0x21] = 0
@@ -116,7 +116,7 @@ class Network:
     def __init__(self, inputs: int, hidden: int):
         r = np.random.RandomState(0)
         self.w = [r.randn(inputs, hidden) / np.sqrt(inputs), np.zeros(hidden), r.randn(hidden) / np.sqrt(hidden), np.zeros(1)]
-        self.shift, self.scale, self.temperature, self.cut = np.zeros(inputs), np.ones(inputs), 1.0, 0.0
+        self.shift, self.scale, self.temperature, self.shifted = np.zeros(inputs), np.ones(inputs), 1.0, 0.0
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         a, b, c, d = self.w
@@ -141,22 +141,23 @@ class Network:
                     v[i] = 0.999 * v[i] + 0.001 * g * g
                     self.w[i] = self.w[i] - 0.003 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """The temperature with the least loss, and the cut with the best balanced accuracy, on rows that were held back."""
-        z = self.logit(x)
-        loss = lambda q: np.mean(np.logaddexp(0, np.where(y > 0, -z, z) / q))
-        self.temperature = min(np.geomspace(0.2, 20, 100), key=loss)
-        cuts = np.unique(np.append(np.quantile(z, np.linspace(0.005, 0.995, 199)), 0.0))
-        balanced = np.array([((z[y > 0] >= c).mean() + (z[y == 0] < c).mean()) for c in cuts])
-        best = cuts[balanced >= balanced.max() - 1e-12]
-        self.cut = float(best[np.argmin(np.abs(best - np.median(best)))])
+    def calibrate(self, x: np.ndarray, y: np.ndarray, steps: int = 50) -> None:
+        """The temperature and the shift with the least log-loss on rows that were held back, by Newton's method with a small penalty."""
+        z = np.stack([self.logit(x), np.ones(len(x))], axis=1)
+        start = w = np.array([1.0, 0.0])
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(2), z.T @ (p - y) + 0.1 * (w - start))
+        if np.isfinite(w).all() and w[0] > 0.01:
+            self.temperature, self.shifted = 1 / w[0], w[1]
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip((self.logit(x) - self.cut) / self.temperature, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature + self.shifted, -30, 30)))
 
 
 def score(spark: SparkSession, documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
     """documents with held_out, score and predicted, after learning from labels(doc_id, quality). All columns are kept."""
+    documents = without(documents, "held_out", "score", "predicted")
     known = labels.where("doc_id is not null and quality is not null").where(learn_fold() != 1).groupBy("doc_id").agg(F.max("quality").cast("long").alias("quality"))
     picked = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(s.fit_rows)
     vectors = word_vectors(documents, s)

@@ -67,3 +67,8 @@ def joined(large: DataFrame, small: DataFrame, on: str, how: str = "inner", limi
 def learn_fold(doc_id: str = "doc_id", mod: int = 3) -> F.Column:
     """crc32 of the id's text modulo `mod` (null for a null id)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod
+
+
+def without(df: DataFrame, *results: str) -> DataFrame:
+    """df without columns that are named like one of the results, in any case."""
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in results))

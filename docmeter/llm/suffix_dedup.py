@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmeter.llm.byteops import Substrings, frugal, frugal_group, frugal_pair, mixed, text_slices
-from docmeter.llm.shared import table, written
+from docmeter.llm.shared import table, without, written
 
 LAST = np.iinfo(np.int64).max
 
@@ -501,7 +501,11 @@ def removed_bytes(docs: pa.Table, found: list[tuple[np.ndarray, np.ndarray]], s:
 
 
 def without_repeats(documents: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """documents (doc_id, text, further columns kept) with n_bytes, n_removed, n_spans, kept_sha256 and kept_text (a character that is cut in two goes whole)."""
+    """documents (doc_id, text, further columns kept) with n_bytes, n_removed, n_spans, kept_sha256 and kept_text (a character that is cut in two goes whole).
+
+    Columns of documents that are named like one of these are replaced.
+    """
+    documents = without(documents, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
     blocks = to_blocks(documents, s)
     size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     spark = documents.sparkSession
