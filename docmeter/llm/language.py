@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmeter.llm.byteops import frugal, text_slices
-from docmeter.llm.shared import learn_fold, table, without
+from docmeter.llm.shared import learn_fold, small_batches, table, without
 
 LETTER = np.zeros(256, np.uint32)
 LETTER[97:123] = np.arange(97, 123)
@@ -95,6 +95,7 @@ def predict(spark: SparkSession, documents: DataFrame, learn: DataFrame, s: Sett
 
     Columns of documents that are named like one of the results are replaced.
     """
+    small_batches(spark)
     documents = without(documents, "lang_pred", "score", "rejected")
     flag = "has_letter"
     while flag in map(str.lower, documents.columns):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmeter.llm.byteops import Substrings, frugal, mixed, runs, text_slices
-from docmeter.llm.shared import joined, learn_fold, table, without
+from docmeter.llm.shared import joined, learn_fold, small_batches, table, without
 
 TOKEN = np.full(256, 2, np.uint8)
 TOKEN[: 0x21] = 0
@@ -157,6 +157,7 @@ class Network:
 
 def score(spark: SparkSession, documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
     """documents with held_out, score and predicted, after learning from labels(doc_id, quality). All columns are kept."""
+    small_batches(spark)
     documents = without(documents, "held_out", "score", "predicted")
     known = labels.where("doc_id is not null and quality is not null").where(learn_fold() != 1).groupBy("doc_id").agg(F.max("quality").cast("long").alias("quality"))
     picked = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(s.fit_rows)

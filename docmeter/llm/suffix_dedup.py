@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmeter.llm.byteops import Substrings, frugal, frugal_group, frugal_pair, mixed, text_slices
-from docmeter.llm.shared import table, without, written
+from docmeter.llm.shared import small_batches, table, without, written
 
 LAST = np.iinfo(np.int64).max
 
@@ -505,6 +505,7 @@ def without_repeats(documents: DataFrame, s: Settings = Settings()) -> DataFrame
 
     Columns of documents that are named like one of these are replaced.
     """
+    small_batches(documents.sparkSession)
     documents = without(documents, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
     blocks = to_blocks(documents, s)
     size = blocks.agg(F.sum("n_bytes")).first()[0] or 0

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmeter.llm.byteops import BASE, FOLD, Substrings, frugal, mixed, runs, text_slices
-from docmeter.llm.shared import forget, joined, learn_fold, table, written
+from docmeter.llm.shared import forget, joined, learn_fold, small_batches, table, written
 
 WORD = np.zeros(256, np.uint8)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -185,6 +185,7 @@ def score(spark: SparkSession, documents: DataFrame, labels: DataFrame, s: Setti
 
     The calibration reads at most `calibration_rows` labelled rows (a number each); everything else covers all rows.
     """
+    small_batches(spark)
     known = labels.where("doc_id is not null and toxic is not null").where(learn_fold() != 1).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     apart = F.pmod(F.xxhash64("doc_id"), F.lit(s.calibration_part)) == 0
     rows = joined(documents.select("doc_id", "text"), known, "doc_id", "left").select("doc_id", "text", F.coalesce(learn_fold() == 1, F.lit(False)).alias("held_out"), F.when(apart, F.col("toxic")).alias("calibrates"), F.when(~apart, F.col("toxic")).alias("counted"))
