@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmeter.llm.shared import joined, table, written
+from docmeter.llm.shared import joined, small_batches, table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -79,6 +79,7 @@ def hits(documents: DataFrame, items: DataFrame, s: Settings = Settings()) -> Da
 
     `spans` are the hit windows as structs (first word, word after the last), `items` the ids of the items whose windows occur.
     """
+    small_batches(documents.sparkSession)
     known = written(items.where("item_id is not null").select("item_id", words("text").alias("words")).where(F.size("words") > 0), "items")
     short = sorted(r[0] for r in known.where(F.size("words") < s.window).select(F.size("words")).distinct().collect())
     kinds = [(s.window, known.where(F.size("words") >= s.window)), *((n, known.where(F.size("words") == n)) for n in short)]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmeter.llm.decontaminate import words
-from docmeter.llm.shared import joined, table, written
+from docmeter.llm.shared import joined, small_batches, table, written
 
 #: Target shares of tokens by domain (language).
 TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
@@ -130,6 +130,7 @@ def fit(members: DataFrame, targets: list[float], s: Settings) -> tuple[list[lis
 
 def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], s: Settings = Settings()) -> DataFrame:  # noqa: B008
     """documents (doc_id, text) -> (doc_id, n_tokens, p, rate), a row a document; labelled(doc_id, domain)."""
+    small_batches(documents.sparkSession)
     domains = sorted(targets)
     known = labelled.where("doc_id is not null").where(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.max("domain").alias("domain"))
     share = sum(targets.values())

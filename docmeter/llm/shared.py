@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 
 #: Rows up to which the small side of a join (a few numbers a row) is broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Rows of texts in an Arrow batch.
-BATCH_ROWS = 1000
+#: Rows of texts in a batch, by setting.
+BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.parquet.columnarReaderBatchSize": 512}
 #: Spark's setting for shuffle files: whether they go at the end of the query that made them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lowers the session's rows of an Arrow batch to `rows`: with whole texts, the default of 10,000 holds tens of MB beside the heap for each task."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch and of a Parquet reader's batch: with whole texts, the defaults of thousands hold tens of MB in each task."""
+    for key, rows in BATCH_ROWS.items():
+        if not 0 < int(spark.conf.get(key)) <= rows:
+            spark.conf.set(key, str(rows))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -44,7 +44,7 @@ LAST = np.iinfo(np.int64).max
 class Settings:
     length: int = 50
     gram: int = 24
-    block_bytes: int = 4 << 20
+    block_bytes: int = 2 << 20
     range_bytes: int = 16 << 20
     frequent: int = 2000
 
