@@ -41,7 +41,9 @@ WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 class Settings:
     depth: int = 12
     discount: float = 0.75
-    margin: float = 4.0
+    prior: float = 4.0  # pooled events that each class's counts after a context are joined by
+    least: float = 0.05  # log ratio from which an event tells the classes apart
+    margin: float = 3.0
     steady: int = 50  # words without evidence that are counted to every text, so that a few words alone decide little
     calibration_part: int = 4  # one learning row in so many calibrates and is not counted
 
@@ -115,14 +117,15 @@ def ratios(count: DataFrame, s: Settings) -> DataFrame:
     less = lambda c: F.greatest(c - s.discount, F.lit(0.0))
     both = F.col("pt") + F.col("po")
     pooled = (less(F.col("t") + F.col("o")) + s.discount * F.col("k") * F.col("shared")) / both
-    own = lambda c, p, k: F.when(F.col(p) > 0, (less(F.col(c)) + s.discount * F.col(k) * F.col("pooled")) / F.col(p)).otherwise(F.col("pooled"))
+    own = lambda c, p, k: F.when(F.col(p) > 0, (less(F.col(c)) + (s.discount * F.col(k) + s.prior) * F.col("pooled")) / (F.col(p) + s.prior)).otherwise(F.col("pooled"))
     return count.join(parents, "parent").join(backoff, "tri").withColumn("pooled", pooled).select("key", F.log(own("t", "pt", "kt") / own("o", "po", "ko")).alias("ratio"))
 
 
 def lexicon(found: DataFrame, s: Settings) -> DataFrame:
     """corpus_words() -> (word, value): the log ratio of every word in which it is beyond the margin."""
     count = written(counts(found.where("t + o > 0"), s), "toxicity-counts")
-    ratio = ratios(count, s)
+    ratio = written(ratios(count, s).where(F.abs("ratio") >= s.least), "toxicity-ratios")
+    forget(count)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,9 +135,9 @@ def lexicon(found: DataFrame, s: Settings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(word[i:j][which]), pa.array(key.view(np.int64))], names=["word", "key"])
 
     each = found.select("word", "bytes").mapInArrow(frugal(task), "word long, key long")
-    value = each.join(ratio, "key").groupBy("word").agg(F.sum("ratio").alias("value"))
+    value = joined(each, ratio, "key").groupBy("word").agg(F.sum("ratio").alias("value"))
     out = written(value.where(F.abs("value") > s.margin), "lexicon")
-    forget(count)
+    forget(ratio)
     return out
 
 
