@@ -18,7 +18,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "4g")
+        .config("spark.driver.memory", "6g")
         .config("spark.local.dir", folder)
         .config("spark.sql.warehouse.dir", f"{folder}/warehouse")
         .getOrCreate()
