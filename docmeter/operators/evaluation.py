@@ -34,7 +34,7 @@ def retrieval_scores(ranks: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (3
     Questions with gold count even where a method returned nothing for them.
     """
     asked = gold.groupBy("question_id").agg(F.count("*").alias("n_gold"))
-    every = ranks.select("label").distinct().join(F.broadcast(asked), how="cross")
+    every = asked.join(F.broadcast(ranks.select("label").distinct()), how="cross")  # a few labels
     hits = ranks.join(gold.withColumn("gold", F.lit(True)), ["question_id", "chunk_id"]).groupBy("label", "question_id").agg(F.min("rank").alias("first"), *(F.count_if(F.col("rank") <= k).alias(f"in_{k}") for k in ks))
     per = every.join(hits, ["label", "question_id"], "left").fillna(0, [f"in_{k}" for k in ks])
     figures = [f for k in ks for f in (F.avg((F.col(f"in_{k}") > 0).cast("double")).alias(f"hit_{k}"), F.avg(F.col(f"in_{k}") / F.greatest(F.col("n_gold"), F.lit(1))).alias(f"recall_{k}"))]

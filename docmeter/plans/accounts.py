@@ -131,10 +131,10 @@ def g8_facts(spark: SparkSession, d: str) -> DataFrame:
 
 def _memory(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("user_id"))
-    return v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v.where("id % 20 > 0").select(F.col("id").alias("fact_id"), "user_id", "vector", F.concat(F.lit("fact "), F.repeat(F.col("id").cast("string"), 100)).alias("content"))
+    return v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v.select(F.col("id").alias("fact_id"), "user_id", "vector", F.concat(F.lit("fact "), F.repeat(F.col("id").cast("string"), 100)).alias("content"))
 
 
-RECALL = """near AS (SELECT q.vec_id AS query_id, m.vec_id AS fact_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(m.embedding AS DOUBLE[])) AS s, 'fact ' || repeat(CAST(m.vec_id AS VARCHAR), 100) AS content FROM embeddings q JOIN embeddings m ON q.label = m.label AND q.vec_id % 20 = 0 AND m.vec_id % 20 > 0),
+RECALL = """near AS (SELECT q.vec_id AS query_id, m.vec_id AS fact_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(m.embedding AS DOUBLE[])) AS s, 'fact ' || repeat(CAST(m.vec_id AS VARCHAR), 100) AS content FROM embeddings q JOIN embeddings m ON q.label = m.label AND q.vec_id % 20 = 0),
 hits AS (SELECT query_id, fact_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, fact_id) AS rank, round(s, 3) AS score, CASE WHEN length(content) <= 200 THEN content ELSE substr(content, 1, 199) || '…' END AS content FROM near WHERE s >= 0.35 QUALIFY rank <= 3)"""
 
 
@@ -151,11 +151,11 @@ def g10_recall_coverage(spark: SparkSession, d: str) -> DataFrame:
     return conversation.recall_coverage(q, conversation.recall(q, m))
 
 
-@query("WITH f AS (SELECT doc_id, doc_id % 8 AS user_id, substr(text, 1, 30) AS content FROM documents WHERE doc_id % 20 = 0) SELECT DISTINCT f.doc_id AS fact_id FROM f JOIN documents d ON d.doc_id % 8 = user_id AND d.doc_id % 20 > 0 WHERE content <> '' AND contains(d.text, content)")
+@query("SELECT DISTINCT item_id AS fact_id FROM benchmark b JOIN documents d ON d.doc_id % 8 = b.item_id % 8 WHERE b.text <> '' AND contains(d.text, b.text)")
 def g11_memory_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """The starts of every twentieth document stand for facts."""
-    docs = read(spark, d, "documents").withColumn("user_id", F.col("doc_id") % 8)
-    return conversation.leaks(docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("fact_id"), "user_id", F.substring("text", 1, 30).alias("content")), docs.where("doc_id % 20 > 0").select("user_id", "text"))
+    """Benchmark items stand for facts, documents for sources."""
+    facts = read(spark, d, "benchmark").select(F.col("item_id").alias("fact_id"), (F.col("item_id") % 8).alias("user_id"), F.col("text").alias("content"))
+    return conversation.leaks(facts, read(spark, d, "documents").select((F.col("doc_id") % 8).alias("user_id"), "text"))
 
 
 @query("""WITH a AS (SELECT vec_id AS query_id, label AS kb_id, vec_id AS at, CASE WHEN vec_id % 5 > 0 THEN 'answer ' || vec_id END AS answer, CAST(embedding AS DOUBLE[]) AS v, vec_id % 7 = 0 AS own_key FROM embeddings WHERE NOT vec_id % 11 = 0)

@@ -33,8 +33,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as questions: their first 60 characters."""
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    """Benchmark items as questions."""
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CORPUS = "corpus AS (SELECT doc_id AS chunk_id, text AS content, source AS kb_id, doc_id % 8 AS owner_id FROM documents)"
-QUESTIONS = "questions AS (SELECT item_id AS query_id, substr(text, 1, 60) AS query FROM benchmark)"
+QUESTIONS = "questions AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 MESSAGES = "messages AS (SELECT conv_id AS session_id, turn AS seq, role, text AS content FROM conversations)"
 RECORDS = """records AS (SELECT event_id AS id, user_id, ts AS created_at, event_type AS model,
  CASE event_type WHEN 'view' THEN 'simulated' WHEN 'error' THEN 'unavailable' ELSE 'provider' END AS source,

@@ -220,17 +220,17 @@ def a10_page_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _golden(spark: SparkSession, d: str) -> DataFrame:
-    """Questions with the item's first 40 characters as the fact, wanted of every document."""
-    return read(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.lit("all").alias("doc"), F.substring("text", 1, 40).alias("expect"), F.lit(None).cast("int").alias("page"))
+    """Questions with the item's text as the fact, wanted of every document."""
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.lit("all").alias("doc"), F.col("text").alias("expect"), F.lit(None).cast("int").alias("page"))
 
 
 NORM = "regexp_replace(lower(regexp_replace({}, '[\\s  -     　]+', '', 'g')), '(\\d),(\\d)', '\\1\\2', 'g')"
-GOLD = f"gold AS (SELECT item_id AS question_id, doc_id AS chunk_id FROM benchmark b, documents d WHERE contains({NORM.format('d.text')}, {NORM.format('substr(b.text, 1, 40)')}))"
+GOLD = f"gold AS (SELECT item_id AS question_id, doc_id AS chunk_id FROM benchmark b, documents d WHERE contains({NORM.format('d.text')}, {NORM.format('b.text')}))"
 
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
     chunks = corpus(spark, d).select("chunk_id", F.lit("all").alias("doc"), F.lit(1).alias("page_num"), "content")
-    return evaluation.gold_chunks(F.broadcast(_golden(spark, d)), chunks, numerals=False)
+    return evaluation.gold_chunks(retrieval.small(_golden(spark, d)), chunks, numerals=False)
 
 
 @query(f"WITH {GOLD} SELECT question_id, chunk_id FROM gold")
@@ -287,14 +287,14 @@ def m10_negative_check(spark: SparkSession, d: str) -> DataFrame:
 
 def _answered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Golden items, and answers made from the best document: every fourth refuses, every third of the others names the fact."""
-    golden = read(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.substring("text", 1, 20).alias("expect"), F.when(F.col("item_id") % 5 > 0, (F.col("item_id") % 3 + 1).cast("int")).alias("page"), (F.col("item_id") % 4 == 0).alias("negative"), F.concat(F.lit("g"), (F.col("item_id") % 3).cast("string")).alias("group"))
+    golden = read(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("expect"), F.when(F.col("item_id") % 5 > 0, (F.col("item_id") % 3 + 1).cast("int")).alias("page"), (F.col("item_id") % 4 == 0).alias("negative"), F.concat(F.lit("g"), (F.col("item_id") % 3).cast("string")).alias("group"))
     best = retrieval.bm25(questions(spark, d), corpus(spark, d), 2).join(corpus(spark, d).select("chunk_id", "content"), "chunk_id")
     sources = best.groupBy(F.col("query_id").alias("item")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: F.struct(x["content"].alias("text"), x["rank"].alias("page"))).alias("sources"))
     items = read(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.when(F.col("item_id") % 4 == 0, F.lit("根据现有资料 无法确定。")).when(F.col("item_id") % 3 == 0, F.col("text")).otherwise(F.lit("?")).alias("answer"))
     return golden, items.join(sources, "item", "left")
 
 
-VERDICTS = f"""g AS (SELECT item_id AS item, {NORM.format('substr(text, 1, 20)')} AS want, CASE WHEN item_id % 5 > 0 THEN item_id % 3 + 1 END AS page, item_id % 4 = 0 AS negative, 'g' || (item_id % 3) AS grp, CASE WHEN item_id % 4 = 0 THEN '根据现有资料 无法确定。' WHEN item_id % 3 = 0 THEN text ELSE '?' END AS answer FROM benchmark),
+VERDICTS = f"""g AS (SELECT item_id AS item, {NORM.format('text')} AS want, CASE WHEN item_id % 5 > 0 THEN item_id % 3 + 1 END AS page, item_id % 4 = 0 AS negative, 'g' || (item_id % 3) AS grp, CASE WHEN item_id % 4 = 0 THEN '根据现有资料 无法确定。' WHEN item_id % 3 = 0 THEN text ELSE '?' END AS answer FROM benchmark),
 s AS (SELECT query_id AS item, count(*) AS n, string_agg(content, ' ' ORDER BY rank) AS t, list(rank) AS pages FROM bm_top JOIN corpus USING (chunk_id) WHERE rank <= 2 GROUP BY ALL),
 v AS (SELECT g.item, grp, negative, page, coalesce(n, 0) AS source_count, contains({NORM.format('answer')}, want) AS fact_hit, contains({NORM.format("coalesce(t, '')")}, want) AS grounded, CASE WHEN page IS NOT NULL THEN coalesce(list_contains(pages, page), false) END AS page_hit, contains(answer, '无法确定') AS refused FROM g LEFT JOIN s USING (item))"""
 
