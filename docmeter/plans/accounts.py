@@ -159,12 +159,12 @@ def g11_memory_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT vec_id AS query_id, label AS kb_id, vec_id AS at, CASE WHEN vec_id % 5 > 0 THEN 'answer ' || vec_id END AS answer, CAST(embedding AS DOUBLE[]) AS v, vec_id % 7 = 0 AS own_key FROM embeddings WHERE NOT vec_id % 11 = 0)
-SELECT q.query_id, h.query_id AS hit_id, round(list_cosine_similarity(q.v, h.v), 6) AS score, h.answer AS hit_answer FROM a q JOIN a h ON q.kb_id = h.kb_id AND h.at < q.at WHERE NOT q.own_key AND NOT h.own_key AND h.answer IS NOT NULL AND list_cosine_similarity(q.v, h.v) >= 0.6 QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.v, h.v), 9) DESC, h.query_id) = 1""")
+SELECT q.query_id, h.query_id AS hit_id, round(list_cosine_similarity(q.v, h.v), 6) AS score, h.answer AS hit_answer FROM a q JOIN a h ON q.kb_id = h.kb_id AND h.at < q.at WHERE NOT q.own_key AND NOT h.own_key AND h.answer IS NOT NULL AND list_cosine_similarity(q.v, h.v) >= 0.3 QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.v, h.v), 9) DESC, h.query_id) = 1""")
 def g12_semantic_cache(spark: SparkSession, d: str) -> DataFrame:
-    """G12, J17, T7 at 0.6: labels stand for knowledge bases, every eleventh question names a table."""
+    """G12, J17, T7 at 0.3: labels stand for knowledge bases, every eleventh question names a table."""
     v = read(spark, d, "embeddings")
     asked = v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("kb_id"), F.col("vec_id").alias("at"), F.when(F.col("vec_id") % 11 == 0, "表3.1").otherwise("what").alias("question"), F.when(F.col("vec_id") % 5 > 0, F.concat(F.lit("answer "), F.col("vec_id").cast("string"))).alias("answer"), F.col("embedding").alias("vector"), (F.col("vec_id") % 7 == 0).alias("own_key"))
-    return conversation.cache_matches(asked, 0.6)
+    return conversation.cache_matches(asked, 0.3)
 
 
 @query(f"WITH {MESSAGES} SELECT session_id, count(*) AS messages, substr(arg_max(content, seq), 1, 60) AS preview, coalesce(substr(trim(replace(arg_min(content, seq) FILTER (role = 'user'), chr(10), ' ')), 1, 30), '新会话') AS title, max(seq) AS last FROM messages GROUP BY session_id")
