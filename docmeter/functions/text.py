@@ -28,16 +28,27 @@ CONTEXT_PREFIX = "[文档概要]"
 CJK = "[㐀-䶿一-鿿]"
 
 
+def bigrams(run: Column) -> Column:
+    """All pairs of neighbours of a run of characters; a single one stays, an empty run has none."""
+    more = lambda c: F.greatest(F.size(c) - 1, F.lit(0))
+    pairs = lambda c: F.when(F.size(c) < 2, c).otherwise(F.zip_with(F.slice(c, 1, more(c)), F.slice(c, 2, more(c)), lambda x, y: F.concat(x, y)))
+    characters = F.regexp_extract_all(run, F.lit("(?s)(.)"), F.lit(1))
+    return F.flatten(F.transform(F.array(characters), pairs))  # bound once: the run is not computed anew for each pair
+
+
 def terms(text: str, mode: str = "word") -> Column:
-    """keyword terms with repeats. `word` keeps word breaks; `fused` drops all white space first, then takes ASCII runs
-    whole and bigrams of the rest (a single character stays)."""
+    """keyword terms with repeats. `word` takes runs of letters and digits of any script, and of runs of CJK characters
+    their bigrams; `fused` drops all white space first, then takes ASCII runs whole and bigrams of the rest. A single
+    character stays."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     if mode == "word":
-        return F.array_remove(F.split(low, "[^a-z0-9]+"), "")  # a split is twice as fast as extracting
+        # CJK and all that is neither a letter, a mark nor a digit part words; a split is twice as fast as extracting
+        words = F.array_remove(F.split(low, rf"(?:[^\p{{L}}\p{{M}}\p{{N}}]|{CJK})+"), "")
+        runs = F.regexp_extract_all(low, F.lit(f"({CJK}+)"), F.lit(1))
+        return F.when(low.rlike(CJK), F.concat(words, F.flatten(F.transform(runs, bigrams)))).otherwise(words)
     whole = F.regexp_replace(low, r"(?U)\s+", "")
     rest = F.regexp_replace(whole, "[a-z0-9]+", "")
-    pairs = F.when(F.length(rest) >= 2, F.transform(F.sequence(F.lit(1), F.greatest(F.length(rest) - 1, F.lit(1))), lambda i: F.substring(rest, i, 2)))
-    return F.concat(F.regexp_extract_all(whole, F.lit("([a-z0-9]+)"), F.lit(1)), F.coalesce(pairs, F.when(F.length(rest) == 1, F.array(rest)), F.array().cast("array<string>")))
+    return F.concat(F.regexp_extract_all(whole, F.lit("([a-z0-9]+)"), F.lit(1)), bigrams(rest))
 
 
 def embedding_tokens(text: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docmeter.functions import text
 from docmeter.operators import citation, conversation, hooks, logs, metaquery, tables, usage
-from docmeter.plans.base import MESSAGES, RECORDS, messages, query, read, records
+from docmeter.plans.base import MESSAGES, RECORDS, TERMS, messages, query, read, records
 from docmeter.sources import files
 from docmeter.streaming import streams
 
@@ -244,7 +244,7 @@ def c5_guards(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, regexp_replace(lower(regexp_replace(text, '[\s  -     　]+', '', 'g')), '(\d),(\d)', '\1\2', 'g') AS normal, len(list_filter(regexp_split_to_array(text, '[\s ]+'), lambda x: x <> '')) AS tokens,
- CASE WHEN length(text) <= 50 THEN text ELSE substr(text, 1, 49) || '…' END AS short, substr(trim(replace(text, chr(10), ' ')), 1, 30) AS title, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n_terms, CAST(NULL AS BIGINT) AS as_number FROM documents""")
+ CASE WHEN length(text) <= 50 THEN text ELSE substr(text, 1, 49) || '…' END AS short, substr(trim(replace(text, chr(10), ' ')), 1, 30) AS title, len(""" + TERMS.format("text") + r""") AS n_terms, CAST(NULL AS BIGINT) AS as_number FROM documents""")
 def f1_text_functions(spark: SparkSession, d: str) -> DataFrame:
     """F1, F2a, F5, F6, F10, F20, F23."""
     t = F.col("text")
@@ -258,6 +258,20 @@ def f2_spellings(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.length(text.normalized(F.concat(F.lit("加息十四次 "), t))).alias("normal_length"), text.is_caption(t).alias("caption"), F.size(text.formulas(t)).alias("formulas"), F.length(text.clean_latex(t)).alias("latex_length"), text.reply_to_bool(F.substring(t, 1, 4)).alias("reply"), text.first_json(F.concat(F.lit('so {"a": '), F.col("doc_id").cast("string"), F.lit("} "), t)).alias("json"))
 
 
+@query("SELECT conv_id AS session_id, turn AS seq, greatest(0, 200 - coalesce(CASE WHEN turn % 3 > 0 THEN length(text) END, 0)) AS left_over FROM conversations")
+def g6_remaining_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Characters stand for tokens of recalled memory; every third turn has none."""
+    m = read(spark, d, "conversations")
+    return m.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), conversation.remaining_budget(F.lit(200), F.when(F.col("turn") % 3 > 0, F.length("text"))).cast("long").alias("left_over"))
+
+
+@query("SELECT vec_id AS fact_id, label AS user_id, vec_id % 17 AS created_at FROM embeddings WHERE label = 3 AND vec_id % 4 > 0")
+def g13_own_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Labels stand for users; every fourth fact, of any user, is asked to go."""
+    m = read(spark, d, "embeddings").select(F.col("vec_id").alias("fact_id"), F.col("label").cast("long").alias("user_id"), (F.col("vec_id") % 17).alias("created_at"))
+    return conversation.own_facts(m, F.lit(3), m.where("fact_id % 4 = 0"))
+
+
 # tables
 
 

@@ -56,7 +56,9 @@ RECORDS = """records AS (SELECT event_id AS id, user_id, ts AS created_at, event
  CASE event_type WHEN 'view' THEN 'simulated' WHEN 'error' THEN 'unavailable' ELSE 'provider' END AS source,
  CASE WHEN event_type <> 'error' THEN length(props) END AS input_tokens, CASE WHEN event_type <> 'error' THEN 2 * length(props) END AS output_tokens,
  CASE WHEN event_type <> 'error' THEN round(value, 4) END AS cost FROM events)"""
-TERMS = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
+CJK = "[㐀-䶿一-鿿]"
+PAIRS = "[substr({0}, CAST(i AS INTEGER), 2) FOR i IN range(1, greatest(length({0}), 2))]"
+TERMS = f"list_concat(regexp_extract_all(regexp_replace(lower(coalesce({{0}}, '')), '{CJK}', ' ', 'g'), '[\\p{{{{L}}}}\\p{{{{M}}}}\\p{{{{N}}}}]+'), flatten([{PAIRS.format('r')} FOR r IN regexp_extract_all(lower(coalesce({{0}}, '')), '{CJK}+')]))"
 BM25 = f"""post AS (SELECT chunk_id, len(w) AS dl, unnest(w) AS term FROM (SELECT chunk_id, {TERMS.format('content')} AS w FROM corpus)),
 tf AS (SELECT chunk_id, term, any_value(dl) AS dl, count(*) AS tf FROM post GROUP BY chunk_id, term),
 lens AS (SELECT count(*) AS n, avg(len({TERMS.format('content')})) AS avgdl FROM corpus),

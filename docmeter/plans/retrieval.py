@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docmeter.functions import intents, text
 from docmeter.operators import chunking, evaluation, retrieval
-from docmeter.plans.base import BM25, CORPUS, FUSED, QUESTIONS, SPARSE, corpus, query, questions, read
+from docmeter.plans.base import BM25, CORPUS, FUSED, PAIRS, QUESTIONS, SPARSE, TERMS, corpus, query, questions, read
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -22,6 +22,22 @@ def b1_term_stats(spark: SparkSession, d: str) -> DataFrame:
     return idf.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+@query(f"""WITH w AS (SELECT regexp_replace(lower('表3.1 数据 ' || coalesce(text, '')), '[\\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+', '', 'g') AS t FROM documents),
+r AS (SELECT t, regexp_replace(t, '[a-z0-9]+', '', 'g') AS rest FROM w), u AS (SELECT unnest(list_concat(regexp_extract_all(t, '[a-z0-9]+'), CASE WHEN rest = '' THEN [] ELSE {PAIRS.format('rest')} END)) AS term FROM r)
+SELECT term, count(*) AS n FROM u GROUP BY term""")
+def f6_fused_terms(spark: SparkSession, d: str) -> DataFrame:
+    """the terms without word breaks of all documents, each after a Chinese caption."""
+    t = read(spark, d, "documents").select(F.concat(F.lit("表3.1 数据 "), F.coalesce("text", F.lit(""))).alias("t"))
+    return t.select(F.explode(text.terms("t", "fused")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH w AS (SELECT '表 3.1 数据库 été ' || coalesce(text, '') AS t FROM documents) SELECT term, count(*) AS n FROM (SELECT unnest({TERMS.format('t')}) AS term FROM w) GROUP BY term")
+def f6_word_terms(spark: SparkSession, d: str) -> DataFrame:
+    """the terms with word breaks of all documents, each after a Chinese and a French word."""
+    t = read(spark, d, "documents").select(F.concat(F.lit("表 3.1 数据库 été "), F.coalesce("text", F.lit(""))).alias("t"))
+    return t.select(F.explode(text.terms("t")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {CORPUS}, {QUESTIONS}, {BM25} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM bm_top")
 def b2_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """B2, B3, J6, P2, T1, W1."""

@@ -66,7 +66,7 @@ def test_approximate_recall(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("embedding", "vector")
     q, c = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "chunk_id")
     exact = {tuple(r)[:2] for r in retrieval.vector_top_k(q, c, 5).select("query_id", "chunk_id").collect()}
-    near = {tuple(r)[:2] for r in retrieval.approximate_top_k(q, c, 5, bucket=1.0, tables=12, reach=1.6).select("query_id", "chunk_id").collect()}
+    near = {tuple(r)[:2] for r in retrieval.approximate_top_k(q, c, 5).select("query_id", "chunk_id").collect()}
     assert len(exact & near) >= 0.9 * len(exact)
 
 
