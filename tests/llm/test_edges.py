@@ -1,6 +1,8 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns: every operator and stage has a defined result."""
 
 import hashlib
+import random
+import re
 import zlib
 
 import pytest
@@ -89,6 +91,33 @@ def test_licenses(docs, none):
     r = next(x for x in got if x["doc_id"] == 2)
     assert (r["n_words"], r["n_base"], r["first_word"], r["labels"], r["score"]) == (0, 0, None, "", 0.0)
     assert license_scan.scan(none).count() == 0
+    clash = docs.select("doc_id", "text", F.lit(1).alias("w"), F.lit(2).alias("lead"), F.lit(3).alias("label"), F.lit(4).alias("hash"), F.lit(5).alias("word"))
+    key = lambda r: (str(r["doc_id"]), r["n_words"])
+    assert sorted(license_scan.scan(clash).collect(), key=key) == sorted(got, key=key)
+
+
+def test_license_blocks_brute_force(spark):
+    """Wrapped, edited, scattered and repeated notices, in short and in very long texts, against every window of every text."""
+    rng, texts = random.Random(3), ["", None]
+    for k, (_, notice) in enumerate(license_scan.TEMPLATES):
+        w = notice.split()
+        some = lambda n: [rng.choice(["the", "of", "software", "license", "under", "plain", "mit", "copy", "é"]) for _ in range(n)]
+        texts += ["\n".join(" ".join(w[i : i + 5]) for i in range(0, len(w), 5)), " ".join(x for x in w if rng.random() > 0.15)]
+        texts += [" ".join(y for x in w for y in (x, *some(k % 3))), " ".join(some(500) + w[::-1] + some(500)), " ".join(y for x in w for y in (x, *some(200)))]
+        texts += [" ".join(w[: len(w) // 2] + some(2) + w[len(w) // 2 :]) + "\n" + " ".join(w)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:9])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(docs, phrases={}).collect()}
+    assert len(got) == docs.count()
+    for i, t in enumerate(texts + texts[:9]):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+        best = {}
+        for k, tpl in enumerate(license_scan.templates_of(license_scan.TEMPLATES, 0.8)):
+            most = max((len(set(tpl.words) & set(w[s : s + tpl.reach])) for s in range(len(w))), default=0)
+            if most >= tpl.need:
+                best[k] = (tpl.label, most / len(tpl.words))
+        r = got[i]
+        assert (r["labels"], r["n_templates"]) == (",".join(sorted({x for x, _ in best.values()})), len(best)), t
+        assert abs(r["score"] - max((c for _, c in best.values()), default=0)) < 1e-12
 
 
 def test_simhash(docs, none):
