@@ -8,6 +8,12 @@ that block and payload digests hold.
 A payload of at least `revisit_bytes` bytes that several pages share is stored once, by the largest page_id; the others
 are revisit records, which hold the HTTP header alone and name that page. Smaller payloads are always stored.
 
+Records of other writers are read too, from `.warc.gz` files by read_files (one gzip member a record; a file is one row, so
+at most 2 GB, Spark's limit). The payload is what follows the HTTP header in requests and responses of type
+application/http, nothing in revisits, and the block in all others (warcinfo, metadata, resource, dns responses and so on).
+Digests are optional: md5, sha1, sha256 and sha512 in base 32 or hex are verified where they are given and the payload is
+stored as it was sent (WARC-Truncated and chunked payloads have only their block verified); other algorithms are not.
+
 A null html is an empty payload, a null url an empty target. Rows that repeat the largest page_id are each a response.
 A page with a null page_id is a record without a page number: a revisit if a numbered page has its payload, else a
 response. An empty table gives no record.
@@ -27,13 +33,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmeter.llm.shared import joined, table, written
+from docmeter.llm.shared import joined, small_batches, table, written
 
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"  # the pages carry no date
 
 
+#: Digest algorithms that are verified.
+DIGESTS = ("md5", "sha1", "sha256", "sha512")
+
+
 class BadRecord(ValueError):
     """A record that breaks the framing, or whose digest is wrong."""
 
@@ -62,29 +72,54 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return pack.compress("\r\n".join(lines).encode() + 2 * CRLF + block + 2 * CRLF) + pack.flush()
 
 
-def _headers(raw: bytes) -> tuple[str, dict[str, str]]:
-    first, *rest = raw.decode("utf-8").split("\r\n")
-    return first, {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in rest)}
+def _headers(raw: bytes, charset: str = "utf-8") -> tuple[str, dict[str, str]]:
+    first, *rest = raw.decode(charset, "replace").split("\r\n")
+    return first, {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in rest)}
+
+
+def _hex(digest: str) -> tuple[str, str]:
+    """Algorithm and hex value of a digest that is labelled and written in base 32 or hex; an unreadable value is ''."""
+    name, _, value = digest.partition(":")
+    name = name.strip().lower().replace("-", "")
+    size = hashlib.new(name).digest_size if name in DIGESTS else 0
+    if len(value) == 2 * size and re.fullmatch(r"[0-9A-Fa-f]+", value):
+        return name, value.lower()
+    try:
+        return name, base64.b32decode(value.upper() + "=" * (-len(value) % 8)).hex()
+    except ValueError:
+        return name, ""
+
+
+def _check(what: str, stated: str | None, data: bytes) -> None:
+    if stated:
+        name, value = _hex(stated)
+        if name in DIGESTS and hashlib.new(name, data).hexdigest() != value:
+            raise BadRecord(f"wrong {what} digest")
 
 
 def _parsed(parts: list[bytes]) -> Record:
     whole = b"".join(parts)
     head, gap, rest = whole.partition(2 * CRLF)
     version, headers = _headers(head)
-    if not gap or not version.startswith("WARC/1.") or not headers.get("content-length", "").isdigit():
+    if not gap or not version.startswith("WARC/1.") or not headers.get("content-length", "").isdigit() or not headers.get("warc-type"):
         raise BadRecord("no WARC header")
     length = int(headers["content-length"])
     block, end = rest[:length], rest[length:]
     if len(block) < length or end != 2 * CRLF:
         raise BadRecord(f"the member does not end where Content-Length {length} says")
-    if _digest(block) != headers.get("warc-block-digest"):
-        raise BadRecord("wrong block digest")
-    head, gap, payload = block.partition(2 * CRLF)
-    status, http = _headers(head)
-    if not gap or not status.startswith("HTTP/"):
-        raise BadRecord("no HTTP header")
-    if headers.get("warc-type") == "response" and (_digest(payload) != headers.get("warc-payload-digest") or len(payload) != int(http["content-length"])):
-        raise BadRecord("wrong payload digest or length")
+    _check("block", headers.get("warc-block-digest"), block)
+    kind, http, payload = headers["warc-type"].lower(), {}, block
+    if kind in ("request", "response", "revisit") and headers.get("content-type", "").lower().startswith("application/http"):
+        head, gap, payload = block.partition(2 * CRLF)
+        first, http = _headers(head, "latin-1")
+        if block and (not gap or "HTTP/" not in first):
+            raise BadRecord("no HTTP header")
+    if kind == "revisit":
+        return Record(headers, http, b"")
+    if "warc-truncated" not in headers and "chunked" not in http.get("transfer-encoding", "").lower():
+        _check("payload", headers.get("warc-payload-digest"), payload)
+        if kind == "response" and http.get("content-length", "").isdigit() and int(http["content-length"]) != len(payload):
+            raise BadRecord("wrong payload length")
     return Record(headers, http, payload)
 
 
@@ -130,29 +165,55 @@ def write_archives(pages: DataFrame, revisit_bytes: int = 1000, blob_bytes: int
 
 
 def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
-    """A row a record: page_id, url, payload_bytes, payload_digest (hex SHA-1), record_type, refers_to, and the payload if asked."""
+    """A row a record: page_id, url, payload_bytes, payload_digest (hex SHA-1), record_type, refers_to, record_id, and the payload if asked.
+
+    The digest is computed from the payload. A revisit has none: its length and digest are those that it states (null if
+    it states none, or no SHA-1). page_id and refers_to are null for other writers' ids, which record_id holds.
+    """
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "payload"][: 7 + with_payload]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()][: 7 + with_payload]
 
     def number(urn: str | None) -> int | None:
         found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
         return int(found[1]) if found else None
 
+    def row(r: Record) -> tuple:
+        kind, stated = r.headers["warc-type"].lower(), r.http.get("content-length", "")
+        if kind == "revisit":
+            name, value = _hex(r.headers.get("warc-payload-digest", ""))
+            size, digest = int(stated) if stated.isdigit() else None, value if name == "sha1" and value else None
+        else:
+            size, digest = len(r.payload), hashlib.sha1(r.payload).hexdigest()  # noqa: S324
+        own = r.headers.get("warc-record-id")
+        return number(own), r.headers.get("warc-target-uri"), size, digest, kind, number(r.headers.get("warc-refers-to")), own, *([r.payload] if with_payload else [])
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         for batch in batches:
             for data in batch.column("data"):
-                rows = []
+                rows, held = [], 0
                 for r in read_records([data.as_py()]):
-                    digest = base64.b32decode(r.headers["warc-payload-digest"].removeprefix("sha1:")).hex()
-                    rows.append((number(r.headers["warc-record-id"]), r.headers["warc-target-uri"], int(r.http["content-length"]), digest, r.headers["warc-type"], number(r.headers.get("warc-refers-to")), *([r.payload] if with_payload else [])))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-                names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=names[: 6 + with_payload])
+                    rows.append(row(r))
+                    held += len(r.payload) if with_payload else 200
+                    if held >= 4 << 20:
+                        yield pack(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield pack(rows)
+
+    return archives.where(F.octet_length("data") > 0).select("data").mapInArrow(task, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string" + ", payload binary" * with_payload)
+
 
-    return archives.select("data").mapInArrow(task, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
+def read_files(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
+    """The records of the `.warc.gz` files under a path, in read_archives' columns."""
+    small_batches(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true").load(path)
+    return read_archives(files.select(F.col("content").alias("data")), with_payload)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to an archive and read back from it."""
-    return read_archives(write_archives(table(spark, sf_dir, "pages"))).drop("url")
+    return read_archives(write_archives(table(spark, sf_dir, "pages"))).drop("url", "record_id")
 
 
 OP1_SQL = """

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns: every operator and stage has a defined result."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -177,13 +178,43 @@ def test_warc_reader_refuses_damage():
     assert [r.headers["warc-type"] for r in warc.read_records(split)] == ["response", "revisit"]
     with pytest.raises(warc.BadRecord, match="cut off"):
         list(warc.read_records([whole[:-9]]))
-    import gzip
-
     for old, new in ((b"payload", b"pAyload"), (b"Content-Length: 8", b"Content-Length: 9")):
         with pytest.raises((warc.BadRecord, KeyError)):
             list(warc.read_records([gzip.compress(gzip.decompress(warc.record(1, "u", b"payload")).replace(old, new))]))
 
 
+def foreign(kind, block, *headers):
+    return gzip.compress("\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", *headers, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    http = "Content-Type: application/http;msgtype=response"
+    answer = b"HTTP/1.1 200 OK\r\nX: \xe9\r\n\r\nbody"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nbody\r\n0\r\n\r\n"
+    records = [
+        foreign("warcinfo", b"software: x", "Content-Type: application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", "Content-Type: application/http;msgtype=request"),
+        foreign("response", answer, http, "WARC-Target-URI: http://x/"),
+        foreign("response", answer, http, f"WARC-Payload-Digest: sha256:{hashlib.sha256(b'body').hexdigest()}", f"WARC-Block-Digest: md5:{hashlib.md5(answer).hexdigest()}"),
+        foreign("response", chunked, http, "WARC-Payload-Digest: sha1:AAAA"),
+        foreign("response", answer, http, "WARC-Payload-Digest: sha1:AAAA", "WARC-Truncated: length"),
+        foreign("response", b"a dns answer", "Content-Type: text/dns", "WARC-Payload-Digest: xxh:1"),
+        foreign("resource", b"", "Content-Type: text/plain"),
+        foreign("revisit", b"", http),
+    ]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.warc.gz").write_bytes(b"".join(records))
+    (tmp_path / "a" / "empty.warc.gz").write_bytes(b"")
+    got = warc.read_files(spark, str(tmp_path), with_payload=True).collect()
+    assert [r["record_type"] for r in got] == ["warcinfo", "request", "response", "response", "response", "response", "response", "resource", "revisit"]
+    assert [bytes(r["payload"])[:4] for r in got] == [b"soft", b"", b"body", b"body", b"4\r\nb", b"body", b"a dn", b"", b""]
+    assert all(r["page_id"] is None and r["record_id"] == "<urn:uuid:1>" for r in got)
+    assert got[2]["url"] == "http://x/" and got[2]["payload_digest"] == hashlib.sha1(b"body").hexdigest() and got[8]["payload_digest"] is None
+    for wrong in (foreign("response", answer, http, "WARC-Payload-Digest: sha1:AAAA"), foreign("metadata", b"x", "WARC-Block-Digest: sha512:00"), foreign("response", b"no header", http)):
+        with pytest.raises(warc.BadRecord):
+            list(warc.read_records([wrong]))
+
+
 def test_stages(spark, docs, none, labels, tmp_path):
     items = spark.createDataFrame([(1, "no such words in any of the texts that stand in here")], "item_id long, text string")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
