@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-START = r"^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2})\S*\s+(?:\[?ERROR\]?)\s*[:|-]?\s*(.*)$"
-EXCEPTION = r"^([A-Za-z_][\w.]*(?:Error|Exception|Warning|Exit|Interrupt))\b"
+#: What opens a record (time, level, logger, message), and an exception's line (class stem, text).
+START = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}[,.]\S*) \w+ app\.error: (.*)$"
+EXCEPTION = r"^([A-Za-z_][\w.]*)(?:Error|Exception|Interrupt|Error\b.*): .*$"
 
 
-def records(lines: DataFrame) -> DataFrame:
+def records(lines: DataFrame, start: str = START, exception: str = EXCEPTION) -> DataFrame:
     """lines(file, line_no, line) to records: a line with the start pattern opens one, the others of the file follow.
 
-    Files are the partitions; no window runs over all of them.
+    `exception` is what the exception pattern captures in the record's last line that matches it. Files are the
+    partitions; no window runs over all of them.
     """
     run = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = lines.withColumn("record", F.sum(F.col("line").rlike(START).cast("int")).over(run)).where("record > 0")
-    head = F.min_by("line", "line_no")
-    last = F.max_by(F.nullif(F.regexp_extract("line", EXCEPTION, 1), F.lit("")), F.when(F.col("line").rlike(EXCEPTION), F.col("line_no")))
-    return numbered.groupBy("file", "record").agg(F.regexp_extract(head, START, 1).alias("ts"), F.regexp_extract(head, START, 2).alias("message"), last.alias("exception"))
+    numbered = lines.withColumn("record", F.sum(F.col("line").rlike(start).cast("int")).over(run)).where("record > 0")
+    head, line = F.min_by("line", "line_no"), F.trim("line")
+    last = F.max_by(F.regexp_extract(line, exception, 1), F.when(line.rlike(exception), F.col("line_no")))
+    return numbered.groupBy("file", "record").agg(F.regexp_extract(head, start, 1).alias("ts"), F.regexp_extract(head, start, 2).alias("message"), last.alias("exception"))
 
 
 def signatures(errors: DataFrame, n: int | None = 20) -> DataFrame:

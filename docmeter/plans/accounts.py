@@ -411,17 +411,17 @@ def t5_page(spark: SparkSession, d: str) -> DataFrame:
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """Events as a log: every event of a user's file opens a record, followed by a frame and, for errors, an exception."""
     e = read(spark, d, "events").select((F.col("user_id") % 40).alias("file"), "event_id", "event_type")
-    lines = F.array(F.concat(F.lit("2024-01-01 00:00:00 ERROR failed "), "event_type"), F.lit('  File "x.py", line 1'), F.when(F.col("event_type") == "error", F.lit("ValueError: bad")).otherwise(F.lit("KeyError: k")))
+    lines = F.array(F.concat(F.lit("2024-01-01 00:00:00,000 WARNING app.error: failed "), "event_type"), F.lit('  File "x.py", line 1'), F.when(F.col("event_type") == "error", F.lit("ValueError: bad")).otherwise(F.lit("KeyError: k")))
     return e.select("file", F.posexplode(lines).alias("k", "line"), "event_id").select("file", (F.col("event_id") * 3 + F.col("k")).alias("line_no"), "line")
 
 
-@query("SELECT 'failed ' || event_type AS message, CASE WHEN event_type = 'error' THEN 'ValueError' ELSE 'KeyError' END AS exception, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, message LIMIT 20")
+@query("SELECT 'failed ' || event_type AS message, CASE WHEN event_type = 'error' THEN 'Value' ELSE 'Key' END AS exception, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, message LIMIT 20")
 def l1_error_signatures(spark: SparkSession, d: str) -> DataFrame:
     """L1, S19, W9, A15."""
     return logs.signatures(logs.records(_lines(spark, d)))
 
 
-@query("SELECT DISTINCT 'failed ' || event_type AS message, CASE WHEN event_type = 'error' THEN 'ValueError' ELSE 'KeyError' END AS exception FROM events WHERE event_type NOT IN (SELECT event_type FROM events WHERE event_type <> 'click')")
+@query("SELECT DISTINCT 'failed ' || event_type AS message, CASE WHEN event_type = 'error' THEN 'Value' ELSE 'Key' END AS exception FROM events WHERE event_type NOT IN (SELECT event_type FROM events WHERE event_type <> 'click')")
 def l2_new_signatures(spark: SparkSession, d: str) -> DataFrame:
     """Everything but clicks was seen before."""
     found = logs.signatures(logs.records(_lines(spark, d)), None)

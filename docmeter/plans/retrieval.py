@@ -77,6 +77,17 @@ def v1_vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_top_k(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "chunk_id"), 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("""SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM
+(SELECT q.vec_id AS query_id, 'c' || c.vec_id AS chunk_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings c
+ WHERE q.vec_id % 20 = 0 AND c.label <> 0 AND c.label <> 1 AND (q.vec_id % 40 = 0 OR c.label % 3 = q.label % 3))) WHERE rank <= 7""")
+def v2_scoped_child_topk(spark: SparkSession, d: str) -> DataFrame:
+    """V1, V2: child chunks with a vector alone; every second question sees one knowledge base (a third of the labels)."""
+    v = read(spark, d, "embeddings").withColumn("kb_id", F.concat(F.lit("kb"), (F.col("label") % 3).cast("string")))
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.when(F.col("vec_id") % 40 != 0, F.col("kb_id")).alias("kb_id"))
+    chunks = v.select(F.concat(F.lit("c"), "vec_id").alias("chunk_id"), F.when(F.col("label") != 1, F.col("embedding")).alias("vector"), "kb_id", F.when(F.col("label") == 0, "parent").otherwise("child").alias("kind"))
+    return retrieval.vector_top_k(q, chunks.where("kind = 'child'"), 7, scope=["kb_id"]).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query()
 def v4_approximate_topk(spark: SparkSession, d: str) -> DataFrame:
     """V4: tests measure its recall against V1."""

@@ -70,6 +70,27 @@ def test_approximate_recall(spark, sf):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_exact_vectors(spark, monkeypatch):
+    c = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [0.0, 3.0])], "chunk_id int, vector array<double>")
+    q = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(9)] + [(9, None)], "query_id int, vector array<double>")
+    whole = [tuple(r) for r in retrieval.vector_top_k(q, c, 3).orderBy("query_id", "rank").collect()]
+    assert [r[1] for r in whole if r[0] == 0] == [1, 2, 5] and {r[0] for r in whole} == set(range(9))
+    monkeypatch.setattr(retrieval, "VALUES", 6)  # parts of about three queries
+    assert [tuple(r) for r in retrieval.vector_top_k(q, c, 3, block=2).orderBy("query_id", "rank").collect()] == whole
+    assert retrieval.vector_top_k(q.limit(0), c, 3).count() == 0 and retrieval.vector_top_k(q, c.limit(0), 3).count() == 0
+    with pytest.raises(Exception, match="has not 2 numbers"):
+        retrieval.vector_top_k(q, spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0])], c.schema), 3).collect()
+
+
+def test_hybrid_with_dense_vectors(spark):
+    corpus = spark.createDataFrame([(1, "alpha beta", "k1"), (2, "gamma", "k1"), (3, "alpha", "k2")], "chunk_id int, content string, kb_id string")
+    q = spark.createDataFrame([(1, "alpha", "alpha", "k1")], "query_id int, query string, question string, kb_id string")
+    vectors = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [1.0, 0.1])], "chunk_id int, vector array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vector array<double>")
+    assert {r["chunk_id"] for r in retrieval.hybrid(q, corpus, asked, vectors, scope=["kb_id"]).collect()} == {1, 2}
+    assert {r["chunk_id"] for r in retrieval.hybrid(q, corpus, asked, vectors).collect()} == {1, 2, 3}
+
+
 def test_embedding_hook_checks_sizes(spark):
     t = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "id int, t string")
     good = retrieval.embed(t, "id", "t", lambda texts: [[float(len(x)), 1.0] for x in texts], 2).collect()
@@ -180,9 +201,9 @@ def test_tables(spark):
 
 
 def test_logs(spark):
-    lines = ["noise", "2024-01-01 00:00:00 ERROR boom", "  File x", "ValueError: a", "KeyError: b", "2024-01-01 00:00:01 ERROR boom"]
+    lines = ["noise", "2024-01-01 00:00:00,1 ERROR app.error: boom", "  File x", "ValueError: a", " KeyError: b", "2024-01-01 00:00:01.2 WARNING app.error: boom", "2024-01-01 00:00:02,3 ERROR other: boom", "pkg.IOException: c", "KeyError"]
     df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no int, line string")
-    assert {(r["message"], r["exception"], r["n"]) for r in logs.signatures(logs.records(df)).collect()} == {("boom", "KeyError", 1), ("boom", None, 1)}
+    assert {(r["message"], r["exception"], r["n"]) for r in logs.signatures(logs.records(df)).collect()} == {("boom", "Key", 1), ("boom", "pkg.IO", 1)}
 
 
 def test_sources(spark, tmp_path):
