@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmeter.functions import intents, text
+from docmeter.operators.containment import held_needles
 from docmeter.operators.retrieval import small, top_k
 
 HISTORY, RECENT, BUDGET = 20, 3, 3000
@@ -125,7 +126,9 @@ def recall_coverage(questions: DataFrame, hits: DataFrame) -> DataFrame:
 
 def leaks(memory: DataFrame, sources: DataFrame) -> DataFrame:
     """Facts that stand in a source of the same user; must be empty."""
-    return memory.join(sources.select("user_id", "text"), "user_id").where((F.col("content") != "") & F.contains("text", F.col("content"))).select("fact_id").distinct()
+    needles = memory.select(F.col("fact_id").alias("needle_id"), "user_id", F.col("content").alias("needle")).where("user_id is not null")
+    found = held_needles(needles, sources.select(F.monotonically_increasing_id().alias("text_id"), "user_id", "text"), ("user_id",))
+    return found.select(F.col("needle_id").alias("fact_id")).distinct()
 
 
 def cache_matches(asked: DataFrame, least: float = SAME) -> DataFrame:

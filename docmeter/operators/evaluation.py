@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmeter.functions import text
+from docmeter.operators.containment import held_needles
 
 #: The lines that a run is held against.
 TARGETS = {"fact": 0.80, "grounded": 0.80, "refusal": 0.80, "faithfulness": 0.80}
@@ -21,11 +22,13 @@ def rate(hit: Column, of: Column | None = None) -> Column:
 
 
 def gold_chunks(golden: DataFrame, chunks: DataFrame, numerals: bool = True) -> DataFrame:
-    """golden(question_id, doc, expect, page) and chunks(chunk_id, doc, page_num, content): the chunks that hold the fact."""
-    want = golden.select("question_id", "doc", "page", text.normalized(F.col("expect"), numerals).alias("want"))
-    have = chunks.select("chunk_id", "doc", "page_num", text.normalized(F.col("content"), numerals).alias("have"))
-    met = have.join(want, "doc").where(F.col("page").isNull() | (F.col("page") == F.col("page_num")))
-    return met.where(text.contains_fact(F.col("want"), F.col("have"))).select("question_id", "chunk_id")
+    """golden(question_id, doc, expect, page) and chunks(chunk_id, doc, page_num, content): the chunks that hold the fact.
+
+    One pass over the chunks, whatever the number of questions of a document.
+    """
+    want = golden.where("doc is not null").select(F.col("question_id").alias("needle_id"), "doc", F.col("page").cast("int").alias("page_num"), text.normalized(F.col("expect"), numerals).alias("needle"))
+    have = chunks.select(F.col("chunk_id").alias("text_id"), "doc", F.col("page_num").cast("int").alias("page_num"), text.normalized(F.col("content"), numerals).alias("text"))
+    return held_needles(want, have, ("doc", "page_num"), numeric_edges=True).select(F.col("needle_id").alias("question_id"), F.col("text_id").alias("chunk_id"))
 
 
 def retrieval_scores(ranks: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:

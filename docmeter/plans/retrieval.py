@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmeter.functions import intents, text
-from docmeter.operators import chunking, evaluation, retrieval
+from docmeter.operators import chunking, evaluation, retrieval, vector_index
+from docmeter.operators.kept import shared_path, written
 from docmeter.plans.base import BM25, CORPUS, FUSED, PAIRS, QUESTIONS, SPARSE, TERMS, corpus, query, questions, read
 
 
@@ -90,9 +91,10 @@ def v2_scoped_child_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def v4_approximate_topk(spark: SparkSession, d: str) -> DataFrame:
-    """V4: tests measure its recall against V1."""
+    """V4: an inverted file, built and searched; tests measure its recall against V1."""
     v = read(spark, d, "embeddings").withColumnRenamed("embedding", "vector")
-    return retrieval.approximate_top_k(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "chunk_id"), 10)
+    index = vector_index.build(v.withColumnRenamed("vec_id", "chunk_id"), shared_path(spark, "vectors"))
+    return vector_index.search(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), index, 10)
 
 
 @query("SELECT len(embedding) AS size, count(*) AS n FROM embeddings WHERE len(embedding) <> 32 GROUP BY ALL")
@@ -269,8 +271,8 @@ def m6_gold_chunks(spark: SparkSession, d: str) -> DataFrame:
 def _ranks(spark: SparkSession, d: str) -> DataFrame:
     """Four rank lists."""
     q, c = _vectors(spark, d)
-    dense, words = retrieval.sparse_top_k(q, c, 20), retrieval.bm25(questions(spark, d), corpus(spark, d))
-    fused = retrieval.fuse([dense, words], top=20)
+    dense, words = written(retrieval.sparse_top_k(q, c, 20), "dense"), written(retrieval.bm25(questions(spark, d), corpus(spark, d)), "words")
+    fused = written(retrieval.fuse([dense, words], top=20), "fused")
     texts = fused.join(corpus(spark, d).select("chunk_id", "content"), "chunk_id").join(questions(spark, d), "query_id")
     label = lambda df, name: df.select(F.lit(name).alias("label"), F.col("query_id").alias("question_id"), "chunk_id", "rank")
     return label(dense, "vector").union(label(words, "bm25")).union(label(fused, "hybrid")).union(label(retrieval.lexical_rerank(texts, 20), "hybrid+rerank"))

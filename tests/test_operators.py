@@ -62,14 +62,6 @@ def test_bm25_padding_and_scope(spark):
     assert {r["chunk_id"] for r in retrieval.scope_filter(corpus, kb_id="k2").collect()} == {3, 4}
 
 
-def test_approximate_recall(spark, sf):
-    v = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("embedding", "vector")
-    q, c = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "chunk_id")
-    exact = {tuple(r)[:2] for r in retrieval.vector_top_k(q, c, 5).select("query_id", "chunk_id").collect()}
-    near = {tuple(r)[:2] for r in retrieval.approximate_top_k(q, c, 5).select("query_id", "chunk_id").collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
-
-
 def test_exact_vectors(spark, monkeypatch):
     c = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [0.0, 3.0])], "chunk_id int, vector array<double>")
     q = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(9)] + [(9, None)], "query_id int, vector array<double>")
