@@ -1,10 +1,11 @@
 """Spelling variants: words one edit apart, found through a reduced alphabet.
 
 Each letter stands for one of a few symbols (a hash of the letter), which turns words into reduced words. Two words within
-one edit have reduced words within one edit, so the full one-edit neighbourhood of every different reduced word, joined
-with the reduced vocabulary, meets every near pair; the words behind each met pair are then compared as they are written
-(Levenshtein distance exactly 1). A neighbourhood has about 2 * length * symbols members where the whole alphabet would
-give 2 * length * 90, and the join's keys are short strings that no single word dominates.
+one edit have reduced words within one edit, so the one-edit neighbourhoods of all different reduced words, joined with
+the reduced vocabulary, meet every near pair; the words behind each met pair are then compared as they are written
+(Levenshtein distance exactly 1). A pair of reduced words is met from one side only, the longer or larger one, which
+leaves about length * (symbols + 2) / 2 members of a neighbourhood to shuffle, where the whole alphabet would give
+length * 90. The join's keys are short strings that no single word dominates.
 
 A word's form is its most frequent near word, if that is at least twice as frequent; roots follow the forms to the end by
 pointer doubling, a join a step over tables in the shared folder (a chain at least doubles its count with each form, so it
@@ -94,15 +95,15 @@ def reduced(word: Column, symbols: int) -> Column:
 
 
 def neighbourhood(r: Column, symbols: int) -> Column:
-    """r and all words over the symbols that one insertion, deletion or replacement away."""
+    """r, its deletions and its replacements by a smaller symbol: with those of the other words, all one-edit neighbours. (An insertion is a deletion of the longer word, a replacement by a larger symbol is met from the other word.)"""
     letters = F.array(*(F.lit(chr(97 + i)) for i in range(symbols)))
     head = lambda i: F.substr(r, F.lit(1), i)
     tail = lambda i: F.substr(r, i)
     places = F.sequence(F.lit(1), F.length(r))
     deleted = F.transform(places, lambda i: F.concat(head(i - 1), tail(i + 1)))
-    replaced = F.flatten(F.transform(places, lambda i: F.transform(letters, lambda c: F.concat(head(i - 1), c, tail(i + 1)))))
-    inserted = F.flatten(F.transform(F.sequence(F.lit(0), F.length(r)), lambda i: F.transform(letters, lambda c: F.concat(head(i), c, tail(i + 1)))))
-    return F.array_distinct(F.concat(F.array(r), deleted, replaced, inserted))
+    smaller = lambda i: F.filter(letters, lambda c: c < F.substr(r, i, F.lit(1)))
+    replaced = F.flatten(F.transform(places, lambda i: F.transform(smaller(i), lambda c: F.concat(head(i - 1), c, tail(i + 1)))))
+    return F.array_distinct(F.concat(F.array(r), deleted, replaced))
 
 
 def near_words(words: DataFrame, s: Settings) -> DataFrame:
@@ -111,9 +112,11 @@ def near_words(words: DataFrame, s: Settings) -> DataFrame:
     # different reduced words meet by their neighbourhoods, then stand for all their words
     known = keyed.select("r").distinct()
     met = known.select("r", F.explode(neighbourhood(F.col("r"), s.symbols)).alias("q")).join(known.withColumnRenamed("r", "q"), "q")
-    left = keyed.join(met, "r").select("word", "n", "q")
+    left = keyed.join(met, "r").select("word", "n", "r", "q")
     right = keyed.select(F.col("r").alias("q"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    return left.join(right, "q").where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
+    pair = left.join(right, "q").where("r <> q or word < near").where(F.levenshtein("word", "near", 1) == 1)
+    ways = F.array(*(F.struct(F.col(a).alias("word"), F.col(b).alias("n"), F.col(c).alias("near"), F.col(d).alias("near_n")) for a, b, c, d in (("word", "n", "near", "near_n"), ("near", "near_n", "word", "n"))))
+    return pair.select(F.inline(ways))
 
 
 def roots(forms: DataFrame) -> DataFrame:
