@@ -5,22 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What opens a record (time, level, logger, message), and an exception's line (class stem, text).
-START = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}[,.]\S*) \w+ app\.error: (.*)$"
-EXCEPTION = r"^([A-Za-z_][\w.]*)(?:Error|Exception|Interrupt|Error\b.*): .*$"
+#: Fixed values, as the application writes its log: what opens a record (time, level, logger, message), and an exception's line (class stem, text).
+START = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}[,.][^ ]*) \w+ app\.error: (.*)$"
+EXCEPTION = r"^([A-Za-z_][\w\.]*)(?:Error|Exception|Interrupt|Error\b[^\n]*): (.*)$"
+SPLIT_LINES = 100_000
 
 
 def records(lines: DataFrame, start: str = START, exception: str = EXCEPTION) -> DataFrame:
     """lines(file, line_no, line) to records: a line with the start pattern opens one, the others of the file follow.
 
-    `exception` is what the exception pattern captures in the record's last line that matches it. Files are the
-    partitions; no window runs over all of them.
+    `exception` is what the exception pattern captures in the record's last line that matches it. Records are cut inside
+    splits of a file (a `split` column, as files.numbered_lines gives it, or SPLIT_LINES lines each). A split's lines
+    before its first start belong to the last record opened in an earlier split: a second pass over one row a split
+    stitches them, so no task holds more than a split of a file.
     """
-    run = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = lines.withColumn("record", F.sum(F.col("line").rlike(start).cast("int")).over(run)).where("record > 0")
+    split = F.col("split") if "split" in lines.columns else F.expr(f"line_no div {SPLIT_LINES}").alias("split")
+    run = Window.partitionBy("file", "split").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = lines.select("file", split, "line_no", "line").withColumn("record", F.sum(F.col("line").rlike(start).cast("int")).over(run))
     head, line = F.min_by("line", "line_no"), F.trim("line")
     last = F.max_by(F.regexp_extract(line, exception, 1), F.when(line.rlike(exception), F.col("line_no")))
-    return numbered.groupBy("file", "record").agg(F.regexp_extract(head, start, 1).alias("ts"), F.regexp_extract(head, start, 2).alias("message"), last.alias("exception"))
+    cut = numbered.groupBy("file", "split", "record").agg(F.regexp_extract(head, start, 1).alias("ts"), F.regexp_extract(head, start, 2).alias("message"), last.alias("exception"))
+    # one row a split: its last record, and what stands before its first
+    ends = cut.groupBy("file", "split").agg(F.max("record").alias("record"), F.max(F.when(F.col("record") == 0, F.col("exception"))).alias("before"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    owned = ends.withColumn("owner", F.max(F.when(F.col("record") > 0, F.col("split"))).over(earlier)).where("owner is not null and before is not null")
+    tails = owned.groupBy("file", F.col("owner").alias("split")).agg(F.max_by("before", "split").alias("later")).join(ends.select("file", "split", "record"), ["file", "split"])
+    whole = cut.where("record > 0").join(tails, ["file", "split", "record"], "left")
+    return whole.select("file", "split", "record", "ts", "message", F.coalesce("later", "exception").alias("exception"))
 
 
 def signatures(errors: DataFrame, n: int | None = 20) -> DataFrame:

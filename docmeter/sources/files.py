@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmeter.operators.retrieval import small
+
 # File kinds by extension.
 KINDS = {
     "pdf": ["pdf"], "docx": ["docx", "doc"], "xlsx": ["xlsx", "xls", "csv"], "md": ["md", "markdown"], "txt": ["txt"], "pptx": ["pptx", "ppt"], "image": ["png", "jpg", "jpeg", "gif", "bmp"],
@@ -72,19 +74,34 @@ def golden(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(required(spark, path), multiLine=True)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, split, line_no, line) of text files of any size: byte ranges are read in parallel, and each line's number in
+    its file is its place in its range plus the lines of the ranges before, a sum over one row a range."""
+    meta = lambda c: F.col(f"_metadata.{c}")
+    raw = spark.read.text(required(spark, path)).select(meta("file_path").alias("file"), meta("file_block_start").alias("split"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("id"))
+    ranges = raw.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.select("file", "split", (before + 1 - F.col("first")).alias("shift"))
+    return raw.join(small(starts), ["file", "split"]).select("file", "split", (F.col("id") + F.col("shift")).alias("line_no"), "line")
+
+
 def benchmark(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, item as variant) of a JSON array or of JSON lines. A bad line is an error that names it; so is no item."""
-    whole = spark.read.text(required(spark, path), wholetext=True)
-    text = F.trim("value")
-    array = whole.where(F.startswith(text, F.lit("["))).select(F.posexplode(F.from_json("value", "array<string>")).alias("k", "line"))
-    lines = whole.where(~F.startswith(text, F.lit("["))).select(F.posexplode(F.split("value", r"\r?\n")).alias("k", "line"))
-    rows = array.union(lines).where(F.trim("line") != "").select((F.col("k") + 1).alias("line_no"), F.try_parse_json("line").alias("item"))
-    bad = rows.where(F.col("item").isNull()).agg(F.min("line_no")).first()[0]
+    """(line_no, item as variant) of files of JSON lines, or of one JSON array each. A bad line is an error that names it; so is no item.
+
+    JSON lines are read in byte ranges; an array, which no range can be cut out of, is one row.
+    """
+    lines = numbered_lines(spark, path).where(F.trim("line") != "")
+    first = lines.groupBy("file").agg(F.min_by("line", "line_no").alias("head"))
+    arrays = first.where(F.startswith(F.trim("head"), F.lit("["))).select("file")
+    listed = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").join(arrays, "file", "left_semi").select("file", F.posexplode(F.from_json("value", "array<string>")).alias("k", "line"))
+    single = lines.join(arrays, "file", "left_anti").select("file", "line_no", "line").unionByName(listed.select("file", (F.col("k") + 1).cast("long").alias("line_no"), "line"))
+    rows = single.select("file", "line_no", F.try_parse_json("line").alias("item"))
+    n, bad = rows.agg(F.count("*"), F.min(F.when(F.col("item").isNull(), F.struct("file", "line_no")))).first()
     if bad is not None:
-        raise ValueError(f"{path}: line {bad} is no JSON")
-    if rows.isEmpty():
+        raise ValueError(f"{bad['file']}: line {bad['line_no']} is no JSON")
+    if not n:
         raise ValueError(f"{path}: no items")
-    return rows
+    return rows.select("line_no", "item")
 
 
 def flat_texts(value: Column) -> Column:
