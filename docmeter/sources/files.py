@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmeter.operators.retrieval import small
+from docmeter.sources.folders import exists
 
 # File kinds by extension.
 KINDS = {
@@ -30,12 +31,6 @@ def kind(name: Column) -> Column:
     return out
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path of any file system that Spark reads is there."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def required(spark: SparkSession, path: str) -> str:
     """The path, or an error."""
     if not exists(spark, path):
@@ -119,14 +114,9 @@ def abilities(items: DataFrame) -> DataFrame:
     return items.select("id", "query", "answers", F.explode(rows).alias("x")).select("id", "query", "x.ability", "x.documents", F.col("x.negative_item").alias("negative"), F.when(~F.col("x.negative_item"), F.try_element_at("answers", F.lit(1))).alias("expect"))
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks by knowledge base, so that a scope reads its own folder."""
-    chunks.write.mode("append").partitionBy("kb_id").parquet(path)
-
-
 def write_metrics(metrics: DataFrame, path: str, run: str) -> None:
-    """A run's metric table."""
-    metrics.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(path)
+    """A run's metric table; a run that is written again replaces its own rows."""
+    metrics.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
 DOCUMENTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])

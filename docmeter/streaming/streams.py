@@ -8,10 +8,27 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from docmeter.functions import text
-from docmeter.operators import chunking
+from docmeter.operators import chunking, kept_index
+from docmeter.operators.kept import written
+from docmeter.sources import chunk_sink
+
+#: Typed state, timers and its expiry need Spark's RocksDB store.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+NONE = iter(())
+
+
+def with_state(rows: DataFrame, key: str, processor: StatefulProcessor, out: str, clock: str = "EventTime") -> DataFrame:
+    """rows by `key` through a stateful processor. Sets the session's state store, which queries take when they start."""
+    rows.sparkSession.conf.set(*STORE)
+    return rows.groupBy(key).transformWithStateInPandas(processor, out, "Append", clock)
+
+
+def merged(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
+    """A key's rows of one micro-batch in order."""
+    return pd.concat(list(rows)).sort_values(list(by))
 
 
 def drained(stream: DataFrame, mode: str, checkpoint: str | None = None) -> DataFrame:
@@ -24,15 +41,19 @@ def drained(stream: DataFrame, mode: str, checkpoint: str | None = None) -> Data
 
 
 def into_index(pages: DataFrame, path: str, checkpoint: str, deleted: Callable[[SparkSession], DataFrame]) -> None:
-    """ST1: new pages to chunks, appended by batch; documents deleted meanwhile do not come back.
+    """ST1: new pages to chunks, into the keyed chunk table and the kept keyword index; deleted documents do not come back.
 
-    Batches are folders named by batch id and overwritten, so a batch that is run again leaves no second copy.
+    Both replace what an earlier batch wrote for a chunk's id, and a batch that is run again changes nothing.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        gone = deleted(batch.sparkSession)
-        made = chunking.chunks(batch).join(gone.select(F.col("doc_id").cast("string").alias("doc_id")), "doc_id", "left_anti")
-        made.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        gone = deleted(spark).select(F.col("doc_id").cast("string").alias("doc_id"))
+        kb = F.col("kb_id") if "kb_id" in batch.columns else F.lit("all")
+        owners = batch.select(F.col("doc_id").cast("string").alias("doc_id"), kb.alias("kb_id")).dropDuplicates(["doc_id"])
+        made = written(chunking.chunks(batch).join(gone, "doc_id", "left_anti").join(owners, "doc_id"), "new-chunks")
+        chunk_sink.upsert(made, f"{path}/chunks")
+        kept_index.change(spark, f"{path}/index", f"{batch_id:09d}", made.where("chunk_type = 'child'"), scope=("kb_id",))
 
     pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -50,29 +71,53 @@ def allowed_hits(times: list[float], held: list[float], limit: int, seconds: flo
 
 
 def limiter(hits: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """ST2 in batch: hits(key, at, id) with `allowed`; a key's hits are one group, at most its own."""
+    """ST2 in batch: hits(key, at, id) with `allowed`. A gap of the window's length ends what earlier hits can say, so a
+    key's hits are dealt by bursts between such gaps."""
 
     def task(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "id"])
-        return rows.assign(allowed=allowed_hits(rows["at"].astype("int64").div(1e9 if rows["at"].dtype == "datetime64[ns]" else 1e6).tolist(), [], limit, seconds)[0])[["key", "id", "allowed"]]
+        rows = rows.sort_values(["t", "id"])
+        return rows.assign(allowed=allowed_hits((rows["t"] / 1e6).tolist(), [], limit, seconds)[0])[["key", "id", "allowed"]]
 
+    order = Window.partitionBy("key").orderBy("t", "id")
+    gap = F.coalesce((F.col("t") - F.lag("t").over(order) >= int(seconds * 1_000_000)).cast("int"), F.lit(0))
+    timed = hits.select("key", F.unix_micros(F.col("at").cast("timestamp")).alias("t"), "id").withColumn("gap", gap)
+    bursts = timed.withColumn("burst", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     kind = {f.name: f.dataType.simpleString() for f in hits.schema}
-    return hits.select("key", F.col("at").cast("timestamp_ntz").alias("at"), "id").groupBy("key").applyInPandas(task, f"key {kind['key']}, id {kind['id']}, allowed boolean")
+    return bursts.groupBy("key", "burst").applyInPandas(task, f"key {kind['key']}, id {kind['id']}, allowed boolean")
 
 
-def limiter_stream(hits: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """ST2 as a stream: the state is the times of the hits allowed in the window, at most `limit` a key."""
-    kind = {f.name: f.dataType.simpleString() for f in hits.schema}
+class Limiter(StatefulProcessor):
+    """ST2: a list of the times of hits allowed in the window, at most `limit`; an event-time timer drops it when the last is out of the window."""
+
+    def __init__(self, limit: int, seconds: float):
+        self.limit, self.seconds = limit, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getListState("held", "t double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        hits = merged(rows, "t", "id")
+        ok, held = allowed_hits(hits["t"].tolist(), [r[0] for r in self.held.get()] if self.held.exists() else [], self.limit, self.seconds)
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if held:
+            self.held.put([(float(t),) for t in held])
+            self.handle.registerTimer(max(int((held[-1] + self.seconds) * 1000) + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame({"key": hits["key"], "id": hits["id"], "allowed": ok})
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["t", "id"])
-        ok, held = allowed_hits(rows["t"].tolist(), held, limit, seconds)
-        state.update((held,))
-        yield rows.assign(allowed=ok)[["key", "id", "allowed"]]
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.held.clear()
+        return NONE
 
-    timed = hits.select("key", "id", (F.unix_micros(F.col("at").cast("timestamp")) / 1e6).alias("t"))
-    return timed.groupBy("key").applyInPandasWithState(step, f"key {kind['key']}, id {kind['id']}, allowed boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def limiter_stream(hits: DataFrame, limit: int, seconds: float, late: str = "1 minute") -> DataFrame:
+    """ST2 as a stream. A hit counts against hits before it, in this batch or earlier ones; hits beyond the watermark are dropped."""
+    kind = {f.name: f.dataType.simpleString() for f in hits.schema}
+    timed = hits.withWatermark("at", late).select("key", "id", "at", (F.unix_micros(F.col("at").cast("timestamp")) / 1e6).alias("t"))
+    return with_state(timed, "key", Limiter(limit, seconds), f"key {kind['key']}, id {kind['id']}, allowed boolean")
 
 
 def attempts(hits: DataFrame, seconds: int = 60) -> DataFrame:
@@ -97,48 +142,129 @@ def late_records(records: DataFrame, seen_until: F.Column, late: str = "1 day")
     return records.where(F.col("created_at") < seen_until - F.expr(f"interval {late}"))
 
 
-def quota_stream(requests: DataFrame, limit: float) -> DataFrame:
-    """ST5: per user (window, spent, unknown) as state: the limit blocks the next request."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        window, spent, unknown = state.get if state.exists else ("", 0.0, 0)
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["t", "id"]).itertuples():
-            if r.day != window:
-                window, spent, unknown = r.day, 0.0, 0
-            out.append((key[0], r.id, round(spent, 8), round(spent, 8) >= limit))
-            if pd.isna(r.cost):
-                unknown += 1
-            else:
-                spent += float(r.cost)
-        state.update((window, spent, unknown))
-        yield pd.DataFrame(out, columns=["user_id", "id", "spent_before", "blocked"])
-
-    rows = requests.select("user_id", "id", "cost", F.unix_micros(F.col("created_at").cast("timestamp")).alias("t"), text.day_key(F.col("created_at")).alias("day"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, id long, spent_before double, blocked boolean", "day string, spent double, unknown long", "append", GroupStateTimeout.NoTimeout)
-
-
-def rolling_summaries(turns: DataFrame, keep: int, summarize: Callable[[str | None, list[str]], str]) -> DataFrame:
-    """ST6: per session (summary, cursor, recent turns): turns beyond the last `keep` go into the summary; put out on change only."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        summary, cursor, nos, said = state.get if state.exists else (None, None, [], [])
-        nos, said = list(nos), list(said)
-        for r in pd.concat(list(batches)).sort_values("turn_no").itertuples():
-            nos.append(int(r.turn_no))
-            said.append(r.user or "")
-        if len(nos) > keep:
-            summary, cursor = summarize(summary, said[:-keep]), nos[-keep - 1]
-            nos, said = nos[-keep:], said[-keep:]
+class Quota(StatefulProcessor):
+    """ST5: what a user spent in the present window; a timer drops it when the window is over."""
+
+    def __init__(self, limit: float | None):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("spent", "start long, spent double, unknown long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        start, spent, unknown = self.state.get() if self.state.exists() else (-1, 0.0, 0)
+        out, end = [], 0
+        for r in merged(rows, "t", "request_id").itertuples():
+            if r.start != start:
+                start, spent, unknown = int(r.start), 0.0, 0
+            exempt = r.role == "admin" or r.own_key is True
+            over = self.limit is not None and self.limit > 0 and round(spent, 8) >= self.limit
+            out.append((key[0], r.request_id, spent, unknown, bool(over and not exempt)))
+            unknown, spent, end = (unknown + 1, spent, r.end) if pd.isna(r.cost) else (unknown, spent + float(r.cost), r.end)
+        self.state.update((start, float(spent), int(unknown)))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(max(int(end), timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame(out, columns=["user_id", "request_id", "spent_before", "unknown_before", "blocked"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        return NONE
+
+    def close(self) -> None:
+        pass
+
+
+def quota_stream(requests: DataFrame, limit: float | None, window: str = "day", late: str = "1 hour") -> DataFrame:
+    """ST5, the twin of usage.quota: requests(request_id, user_id, created_at, cost, role, own_key), which arrive in order by window.
+
+    Reaching the limit blocks the next request. Admins and users of their own key are exempt; no limit never blocks.
+    """
+    at = F.col("created_at")
+    start = text.window_start(at, window)
+    ms = lambda c: F.unix_millis(c.cast("timestamp"))
+    kind = {f.name: f.dataType.simpleString() for f in requests.schema}
+    end = start + F.expr("interval 1 month" if window == "month" else "interval 1 day")
+    rows = requests.withWatermark("created_at", late).select("user_id", "request_id", "created_at", F.col("cost").cast("double").alias("cost"), "role", "own_key", F.unix_micros(at.cast("timestamp")).alias("t"), ms(start).alias("start"), ms(end).alias("end"))
+    return with_state(rows, "user_id", Quota(limit), f"user_id {kind['user_id']}, request_id {kind['request_id']}, spent_before double, unknown_before long, blocked boolean")
+
+
+class Summaries(StatefulProcessor):
+    """ST6: a session's summary, cursor and recent turns; Spark drops them when the session was silent for the time to live."""
+
+    def __init__(self, keep: int, summarize: Callable[[str | None, list[str]], str], ttl_ms: int):
+        self.keep, self.summarize, self.ttl_ms = keep, summarize, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.done = handle.getValueState("done", "summary string, cursor int", self.ttl_ms)
+        self.recent = handle.getListState("recent", "turn_no int, user string", self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        old = self.done.get() if self.done.exists() else None
+        turns = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
+        turns += [(int(r.turn_no), r.user or "") for r in merged(rows, "turn_no").itertuples()]
+        if len(turns) > self.keep:
+            summary, cursor = self.summarize(old[0] if old else None, [t[1] for t in turns[: -self.keep]]), turns[-self.keep - 1][0]
+            turns = turns[-self.keep :]
+            self.done.update((summary, cursor))
             yield pd.DataFrame([(key[0], summary, cursor)], columns=["session_id", "summary", "cursor"])
-        state.update((summary, cursor, nos, said))
+        elif old:
+            self.done.update(tuple(old))  # the session spoke: its time to live begins anew
+        self.recent.put(turns)
+
+    def close(self) -> None:
+        pass
+
 
-    return turns.select("session_id", "turn_no", "user").groupBy("session_id").applyInPandasWithState(step, "session_id long, summary string, cursor int", "summary string, cursor int, nos array<int>, said array<string>", "append", GroupStateTimeout.NoTimeout)
+def rolling_summaries(turns: DataFrame, keep: int, summarize: Callable[[str | None, list[str]], str], ttl_days: float = 30) -> DataFrame:
+    """ST6: turns beyond the last `keep` go into the session's summary; put out on change only."""
+    return with_state(turns.select("session_id", "turn_no", "user"), "session_id", Summaries(keep, summarize, int(ttl_days * 86_400_000)), "session_id long, summary string, cursor int", "ProcessingTime")
 
 
-def first_seen(events: DataFrame, keys: list[str], at: str = "ts", late: str = "3650 days") -> DataFrame:
+def first_seen(events: DataFrame, keys: list[str], at: str = "ts") -> DataFrame:
     """ST7: the first event of each signature."""
-    return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(at))).where("k = 1").drop("k")
+    return events.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(at))).where("k = 1").drop("k")
+
+
+class First(StatefulProcessor):
+    """ST7: a signature's earliest time until no earlier event can come; then a mark, which a later timer drops."""
+
+    def __init__(self, wait_ms: int, keep_ms: int):
+        self.wait_ms, self.keep_ms = wait_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("first", "ms long, told boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ms = min(int(b["ms"].min()) for b in rows)
+        old = self.state.get() if self.state.exists() else None
+        if old and (old[1] or old[0] <= ms):
+            return NONE
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.state.update((ms, False))
+        self.handle.registerTimer(max(ms + self.wait_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        return NONE
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ms, told = self.state.get()
+        if told:
+            self.state.clear()
+            return NONE
+        self.state.update((ms, True))
+        self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.keep_ms)
+        return iter([pd.DataFrame({"signature": [key[0]], "ms": [ms]})])
+
+    def close(self) -> None:
+        pass
+
+
+def first_seen_stream(events: DataFrame, keys: list[str], at: str = "ts", late: str = "10 minutes", keep_days: int = 365) -> DataFrame:
+    """ST7 as a stream: (signature as JSON of the keys, first): the earliest event, put out once the watermark has passed it.
+    A signature that comes back after `keep_days` is new again."""
+    rows = events.withWatermark(at, late).select(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("signature"), at, F.unix_millis(F.col(at).cast("timestamp")).alias("ms"))
+    found = with_state(rows, "signature", First(1, keep_days * 86_400_000), "signature string, ms long")
+    return found.select("signature", F.timestamp_millis("ms").alias("first"))
 
 
 def stuck(items: DataFrame, as_of: F.Column, minutes: int) -> DataFrame:
@@ -146,24 +272,40 @@ def stuck(items: DataFrame, as_of: F.Column, minutes: int) -> DataFrame:
     return items.where((F.col("status") == "processing") & (F.col("at") < as_of - F.make_interval(mins=F.lit(minutes))))
 
 
-def stuck_stream(items: DataFrame, minutes: int) -> DataFrame:
-    """ST8 as a stream: an item that no later event finishes times out in event time."""
+class Stuck(StatefulProcessor):
+    """ST8: when an item began; a timer tells if nothing has finished it by then."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            yield pd.DataFrame([(key[0], state.get[0])], columns=["id", "started"])
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values("ms")
-        last = rows.iloc[-1]
-        if last["status"] == "processing":
-            state.update((int(last["ms"]),))
-            state.setTimeoutTimestamp(max(int(last["ms"]) + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
+    def __init__(self, minutes: int):
+        self.wait = minutes * 60_000
 
-    rows = items.withWatermark("at", "0 seconds").select("id", "status", "at", F.unix_millis(F.col("at").cast("timestamp")).alias("ms"))
-    return rows.groupBy("id").applyInPandasWithState(step, "id long, started long", "started long", "append", GroupStateTimeout.EventTimeTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.began = handle, handle.getValueState("began", "ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = merged(rows, "ms").iloc[-1]
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if last["status"] == "processing":
+            self.began.update((int(last["ms"]),))
+            self.handle.registerTimer(max(int(last["ms"]) + self.wait, timerValues.getCurrentWatermarkInMs() + 1))
+        else:
+            self.began.clear()
+        return NONE
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ms = self.began.get()[0]
+        self.began.clear()
+        return iter([pd.DataFrame({"id": [key[0]], "started": [ms]})])
+
+    def close(self) -> None:
+        pass
+
+
+def stuck_stream(items: DataFrame, minutes: int, late: str = "0 seconds") -> DataFrame:
+    """ST8 as a stream: items that no later event has finished when event time is `minutes` past their start."""
+    kind = items.schema["id"].dataType.simpleString()
+    rows = items.withWatermark("at", late).select("id", "status", "at", F.unix_millis(F.col("at").cast("timestamp")).alias("ms"))
+    return with_state(rows, "id", Stuck(minutes), f"id {kind}, started long")
 
 
 def in_flight(requests: DataFrame, cap: int = 2) -> DataFrame:

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmeter.operators import chunking, citation, conversation, evaluation, logs, metaquery, retrieval, tables, usage
-from docmeter.sources import files
+from docmeter.operators import chunking, citation, conversation, evaluation, kept_index, logs, metaquery, retrieval, tables, usage
+from docmeter.sources import chunk_sink, files
 from docmeter.streaming import streams
 
 
@@ -214,8 +214,10 @@ def test_sources(spark, tmp_path):
         files.golden(spark, str(tmp_path / "none.json"))
     v = spark.createDataFrame([('"a"',), ('["x", " "]',), ('[["p"], ["q"]]',), ("plain",)], "v string").select(files.flat_texts(F.col("v")).alias("x"))
     assert [r["x"] for r in v.collect()] == [["a"], ["x"], ["p", "q"], ["plain"]]
-    files.write_chunks(spark.createDataFrame([("c", "k")], "chunk_id string, kb_id string"), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    files.write_metrics(spark.createDataFrame([("fact", 0.5)], "metric string, value double"), str(tmp_path / "m"), "one")
+    files.write_metrics(spark.createDataFrame([("fact", 0.7)], "metric string, value double"), str(tmp_path / "m"), "two")
+    files.write_metrics(spark.createDataFrame([("fact", 0.7)], "metric string, value double"), str(tmp_path / "m"), "two")
+    assert rows(spark.read.parquet(str(tmp_path / "m")).select("run", "metric", "value"), "run") == [("one", "fact", 0.5), ("two", "fact", 0.7)]
 
 
 def _stream(spark, df, path):
@@ -223,30 +225,35 @@ def _stream(spark, df, path):
     return spark.readStream.schema(df.schema).parquet(str(path))
 
 
-def test_limiter_stream_matches_batch(spark, sf, tmp_path):
+def test_limiter_by_bursts(spark, sf):
+    """A key's hits are dealt by bursts; the result is that of the key's whole history."""
     hits = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"))
-    batch = {tuple(r) for r in streams.limiter(hits, 2, 36000).collect()}
-    out = streams.drained(streams.limiter_stream(_stream(spark, hits, tmp_path / "h"), 2, 36000), "append")
-    assert {tuple(r) for r in out.collect()} == batch and any(not r[2] for r in batch)
+    got = {r["id"]: r["allowed"] for r in streams.limiter(hits, 2, 36000).collect()}
+    keys = hits.select("key", F.unix_micros("at").alias("t"), "id").toPandas().sort_values(["key", "t", "id"])
+    for _, g in keys.groupby("key"):
+        assert [got[i] for i in g["id"]] == streams.allowed_hits((g["t"] / 1e6).tolist(), [], 2, 36000)[0]
+    assert set(got.values()) == {True, False}
     assert streams.allowed_hits([0, 1, 2, 61], [], 2, 60)[0] == [True, True, False, True]
 
 
-def test_other_streams(spark, tmp_path):
+def test_daily_cost_stream(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     r = spark.createDataFrame([(1, i, t + dt.timedelta(hours=i), 1.0) for i in range(4)], "user_id long, id long, created_at timestamp, cost double")
-    out = streams.drained(streams.quota_stream(_stream(spark, r, tmp_path / "q"), 2.0), "append")
-    assert [x["blocked"] for x in out.orderBy("id").collect()] == [False, False, True, True]
-    daily = streams.drained(streams.daily_cost(spark.readStream.schema(r.schema).parquet(str(tmp_path / "q"))), "update")
+    daily = streams.drained(streams.daily_cost(_stream(spark, r, tmp_path / "q")), "update")
     assert [(x["cost"], x["records"]) for x in daily.collect()] == [(4.0, 4)]
-    turns = spark.createDataFrame([(1, i, f"u{i}") for i in range(5)], "session_id long, turn_no int, user string")
-    got = streams.drained(streams.rolling_summaries(_stream(spark, turns, tmp_path / "t"), 2, lambda old, said: ((old or "") + "".join(said))), "append")
-    assert [tuple(x) for x in got.collect()] == [(1, "u0u1u2", 2)]
-    e = spark.createDataFrame([("a", t), ("a", t + dt.timedelta(seconds=1)), ("b", t)], "k string, ts timestamp")
-    assert streams.drained(streams.first_seen(_stream(spark, e, tmp_path / "e"), ["k"]), "append").count() == 2
 
 
 def test_incremental_index_keeps_deleted_out(spark, tmp_path):
     pages = spark.createDataFrame([(1, 1, "one。"), (2, 1, "two。")], "doc_id long, page_num int, text string")
     source = _stream(spark, pages, tmp_path / "p")
     streams.into_index(source, str(tmp_path / "idx"), str(tmp_path / "cp"), lambda s: s.createDataFrame([(2,)], "doc_id long"))
-    assert {r["doc_id"] for r in spark.read.parquet(str(tmp_path / "idx")).collect()} == {"1"}
+    assert {r["doc_id"] for r in chunk_sink.read_chunks(spark, str(tmp_path / "idx" / "chunks")).collect()} == {"1"}
+    more = spark.createDataFrame([(3, 1, "three."), (1, 1, "uno。")], "doc_id long, page_num int, text string")
+    more.coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+    streams.into_index(source, str(tmp_path / "idx"), str(tmp_path / "cp"), lambda s: s.createDataFrame([(2,)], "doc_id long"))
+    kept = chunk_sink.read_chunks(spark, str(tmp_path / "idx" / "chunks"))
+    assert {r["doc_id"] for r in kept.collect()} == {"1", "3"} and kept.count() == kept.select("chunk_id").distinct().count()
+    q = spark.createDataFrame([(1, "uno three one")], "query_id long, query string")
+    found = kept_index.search(q, str(tmp_path / "idx" / "index"), 9)
+    want = retrieval.bm25(q, kept.where("chunk_type = 'child'").select("chunk_id", "content"), 9)
+    assert rows(found.select("chunk_id", F.round("score", 6)), "chunk_id") == rows(want.select("chunk_id", F.round("score", 6)), "chunk_id")
