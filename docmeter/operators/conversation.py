@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmeter.functions import intents, text
 from docmeter.operators.containment import held_needles
-from docmeter.operators.retrieval import small, top_k
+from docmeter.operators.kept import in_order, written
+from docmeter.operators.retrieval import _unit, small, top_k
 
 HISTORY, RECENT, BUDGET = 20, 3, 3000
 RECALL, RECALL_TOP, RECALL_CHARS = 0.35, 3, 200
@@ -131,16 +134,46 @@ def leaks(memory: DataFrame, sources: DataFrame) -> DataFrame:
     return found.select(F.col("needle_id").alias("fact_id")).distinct()
 
 
-def cache_matches(asked: DataFrame, least: float = SAME) -> DataFrame:
-    """asked(query_id, kb_id, at, question, answer, vector, own_key): the nearest earlier answer of the kb.
+def cache_matches(asked: DataFrame, least: float = SAME, newest: int = CACHED, dealt: int = 4096) -> DataFrame:
+    """asked(query_id, kb_id, at, question, answer, vector, own_key): the nearest earlier answer of the kb
+    that the cache still holds: it keeps the `newest` entries of all knowledge bases.
 
-    Numbered references and users of their own key are skipped; empty answers are not stored.
+    Numbered references and users of their own key are skipped; empty answers are not stored. Entries are numbered by
+    time, so a question meets two blocks of `newest` entries at most and the work grows with the questions, not with their
+    pairs. Blocks of a knowledge base and `dealt` questions at a time meet in matrix products. A question without a time
+    or a vector has no match. Equal scores: the smaller id.
     """
     skip = F.coalesce("own_key", F.lit(False)) | (F.size(intents.references(F.col("question"))) > 0)
-    mine = asked.where(~skip)
-    past = mine.where(F.coalesce("answer", F.lit("")) != "").select("kb_id", F.col("query_id").alias("hit_id"), F.col("at").alias("hit_at"), F.col("answer").alias("hit_answer"), F.col("vector").alias("hv"))
-    near = mine.join(past, "kb_id").where((F.col("hit_at") < F.col("at"))).withColumn("score", text.cosine(F.col("vector"), F.col("hv"))).where(F.col("score") >= least)
-    return top_k(near, 1, ["query_id"], tie="hit_id").select("query_id", "hit_id", F.round("score", 6).alias("score"), "hit_answer")
+    mine = asked.where(~skip).where("at is not null and size(vector) > 0").select("query_id", "kb_id", "at", "answer", F.transform("vector", lambda x: x.cast("double")).alias("vector"), (F.coalesce("answer", F.lit("")) != "").alias("stored"))
+    rows = written(in_order(mine, "at", "query_id", "stored"), "asked")
+    # a question with m entries before it sees those numbered m - newest to m - 1: blocks b - 1 and b of m = b * newest + r
+    q = rows.select("query_id", "kb_id", "vector", "before", F.expr(f"before div {newest}").alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)).alias("h"))
+    sizes = q.groupBy("kb_id", "block").agg(F.ceil(F.count("*") / dealt).cast("int").alias("parts"))
+    q = q.join(small(sizes), ["kb_id", "block"]).withColumn("part", F.col("h") % F.col("parts"))
+    e = rows.where("stored").select(F.col("kb_id").alias("e_kb"), F.col("query_id").alias("hit_id"), F.col("vector").alias("hv"), "nth", F.explode(F.array(F.expr(f"nth div {newest}"), F.expr(f"nth div {newest} + 1"))).alias("e_block"))
+    e = e.join(small(sizes.select(F.col("kb_id").alias("e_kb"), F.col("block").alias("e_block"), F.col("parts").alias("e_parts"))), ["e_kb", "e_block"]).withColumn("e_part", F.explode(F.sequence(F.lit(0), F.col("e_parts") - 1)))
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if len(left) and len(right):
+            hits, nth = right.column("hit_id").to_numpy(), right.column("nth").to_numpy()
+            order = np.argsort(hits, kind="stable")
+            v = _unit(np.stack(right.column("hv").to_numpy())[order])
+            hits, nth = hits[order], nth[order]
+            for lo in range(0, len(left), 512):
+                part = left.slice(lo, 512)
+                before = part.column("before").to_numpy()
+                score = _unit(np.stack(part.column("vector").to_numpy())) @ v.T
+                seen = (nth < before[:, None]) & (nth >= before[:, None] - newest)
+                score = np.where(seen, score.round(9), -2)
+                best = score.argmax(1)
+                top = score[np.arange(len(best)), best]
+                out += [(int(i), int(hits[b]), float(s)) for i, b, s in zip(part.column("query_id").to_numpy(), best, top, strict=True) if s >= least]
+        return pa.table({c: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate((("query_id", pa.int64()), ("hit_id", pa.int64()), ("score", pa.float64())))})
+
+    found = q.groupBy("kb_id", "block", "part").cogroup(e.groupBy("e_kb", "e_block", "e_part")).applyInArrow(nearest, "query_id long, hit_id long, score double")
+    answers = rows.where("stored").select(F.col("query_id").alias("hit_id"), F.col("answer").alias("hit_answer"))
+    return found.join(answers, "hit_id").select("query_id", "hit_id", F.round("score", 6).alias("score"), "hit_answer")
 
 
 def newest_entries(cache: DataFrame, n: int = CACHED) -> DataFrame:

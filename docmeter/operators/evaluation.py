@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,6 +15,9 @@ from docmeter.operators.containment import held_needles
 #: The lines that a run is held against.
 TARGETS = {"fact": 0.80, "grounded": 0.80, "refusal": 0.80, "faithfulness": 0.80}
 
+#: The figures of a judge.
+JUDGED = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
+
 
 def rate(hit: Column, of: Column | None = None) -> Column:
     """The share of rows of `of` that hit; null without such rows."""
@@ -79,7 +83,7 @@ def verdicts(golden: DataFrame, answers: DataFrame, numerals: bool = True) -> Da
 
 
 def report(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Rates of verdict rows, of all or by columns such as the group."""
+    """Rates of verdict rows, of all or by columns such as the group."""
     yes, no = ~F.coalesce("negative", F.lit(False)), F.coalesce("negative", F.lit(False))
     return rows.groupBy(*(by or [])).agg(
         F.count("*").alias("items"),
@@ -94,6 +98,14 @@ def report(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def judged_means(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """rows(negative, judged struct<JUDGED...> or null): the means of judged positives, each over the items that have
+    the figure, and how many positives there are and were scored. A figure that nobody has is null."""
+    yes = ~F.coalesce("negative", F.lit(False))
+    mean = lambda m: F.avg(F.when(yes, F.col("judged")[m])).alias(m)
+    return rows.groupBy(*(by or [])).agg(F.count_if(yes).alias("positives"), F.count_if(yes & F.col("judged").isNotNull()).alias("scored"), *map(mean, JUDGED))
+
+
 def token_reduction(rows: DataFrame) -> DataFrame:
     """M4: 1 - after / before over positives with both; a reason where there is none."""
     usable = ~F.coalesce("negative", F.lit(False)) & (F.col("before") > 0) & F.col("after").isNotNull()
@@ -101,13 +113,53 @@ def token_reduction(rows: DataFrame) -> DataFrame:
     return one.select("n", (1 - F.col("after") / F.col("before")).alias("reduction"), F.when(F.col("n") > 0, F.lit(None).cast("string")).when(F.col("items") == 0, F.lit("no items")).when(F.col("counted") == 0, F.lit("no token counter")).otherwise(F.lit("nothing compressed")).alias("reason"))
 
 
+def nearest_rank(values: DataFrame, shares: list[float], by: str = "stage", value: str = "v", accuracy: int = 10_000, rows: int = 1_000_000) -> DataFrame:
+    """values(by, value) -> (by, share, n, value): the value at rank ceil(share * n) of each group, nulls left out.
+
+    A mergeable sketch brackets each rank; a pass counts what lies below the bracket and inside it. While a bracket holds
+    more than `rows` values it is narrowed by a sketch of its inside. Then the inside's different values, summed before
+    they are shuffled, are ranked. No group's values are gathered; where a sketch missed the rank, its bracket is opened.
+    """
+    known = values.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("x"))
+    spark = values.sparkSession
+    sizes = [(r[by], r["n"]) for r in known.groupBy(by).agg(F.count("*").alias("n")).collect()]  # a row a group
+    kind = known.schema[by].dataType.simpleString()
+    wanted = {(g, p): (max(1, math.ceil(round(p * n, 9))), 0, n, None, None) for g, n in sizes for p in shares}  # rank, below, inside, low, high
+    schema = f"{by} {kind}, share double, low double, high double, rank long"
+    frame = lambda: spark.createDataFrame([(g, p, low, high, rank) for (g, p), (rank, _, _, low, high) in wanted.items()], schema)
+    inside = F.coalesce(F.col("x") >= F.col("low"), F.lit(True)) & F.coalesce(F.col("x") <= F.col("high"), F.lit(True))
+    for _ in range(8):
+        wide = {k: w for k, w in wanted.items() if w[2] > rows and (w[3] is None or w[3] < w[4])}
+        if not wide:
+            break
+        near = known.join(F.broadcast(frame()), by).where(inside).groupBy(by, "share").agg(F.percentile_approx("x", F.array(*(F.lit(k / 200) for k in range(201))), accuracy).alias("marks")).collect()  # 201 numbers a group and share
+        for r in near:
+            if (k := (r[by], r["share"])) in wide:
+                rank, below, n, _, _ = wanted[k]
+                at = (rank - below) / n * 200
+                wanted[k] = (rank, below, n, r["marks"][max(0, math.floor(at) - 1)], r["marks"][min(200, math.ceil(at) + 1)])
+        counts = known.join(F.broadcast(frame()), by).groupBy(by, "share").agg(F.count_if(F.col("x") < F.col("low")).alias("below"), F.count_if(inside).alias("inside")).collect()
+        for r in counts:
+            k = (r[by], r["share"])
+            rank, _, _, low, high = wanted[k]
+            if k in wide:
+                fits = r["below"] < rank <= r["below"] + r["inside"]
+                wanted[k] = (rank, r["below"], r["inside"], low, high) if fits else (rank, 0, wanted[k][2], None, None)
+    order = Window.partitionBy(by, "share").orderBy("x")
+    below = {k: w[1] for k, w in wanted.items()}
+    started = spark.createDataFrame([(g, p, b, w[0], n) for (g, p), b in below.items() for w in [wanted[g, p]] for n in [dict(sizes)[g]]], f"{by} {kind}, share double, below long, rank long, n long")
+    ranked = known.join(F.broadcast(frame().drop("rank")), by).where(inside).groupBy(by, "share", "x").agg(F.count("*").alias("c")).join(F.broadcast(started), [by, "share"]).withColumn("upto", F.col("below") + F.sum("c").over(order))
+    return ranked.where(F.col("upto") >= F.col("rank")).groupBy(by, "share").agg(F.min("x").alias(value), F.max("n").alias("n"))
+
+
 def latency(samples: DataFrame, stages: list[str]) -> DataFrame:
     """Nearest-rank P50 and P95 of complete samples by stage, with the counts of 429 and degraded runs."""
     ok = samples.where(" and ".join(["status = 200", *(f"{s} is not null" for s in stages)]))
     long = ok.select(F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), F.col(s).alias("v")) for s in stages))).alias("x")).select("x.*")
-    disc = lambda p: F.expr(f"percentile_disc({p}) within group (order by v)")
     counts = samples.agg(F.count_if(F.col("status") == 429).alias("limited"), F.count_if(F.coalesce("degraded", F.lit(False))).alias("degraded"))
-    return long.groupBy("stage").agg(F.count("*").alias("n"), disc(0.5).alias("p50"), disc(0.95).alias("p95")).join(F.broadcast(counts), how="cross")
+    ranks = nearest_rank(long, [0.5, 0.95])
+    at = lambda p: F.max(F.when(F.col("share") == p, F.col("v")))
+    return ranks.groupBy("stage").agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95")).join(F.broadcast(counts), how="cross")
 
 
 def compare(runs: DataFrame, before: str, after: str, rates: list[str]) -> DataFrame:

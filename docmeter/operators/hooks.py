@@ -6,6 +6,7 @@ X5 extract_facts: here. X6 verify and judge: citation.verify, evaluation.judge.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -27,18 +28,29 @@ def token_count(content: Column, count: Callable[[str], int] | None = None) -> C
     return counted(content)
 
 
-def extracted_facts(turns: DataFrame, extract: Callable[[str, str], str]) -> DataFrame:
-    """(session_id, reply) of an extraction model; a failure gives no reply for its turn."""
+def fact_function(extract: Callable[[str, str], str], limit: int = 5):  # noqa: ANN201
+    """A table function (user, assistant) -> (pos, fact, error) of an extraction model's reply: its different lines
+    without list markers, at most `limit`. A failure of the model is one row with the error.
 
-    def task(batches):  # noqa: ANN001, ANN202
-        for b in batches:
-            rows = []
-            for key, user, assistant in b.itertuples(index=False):
-                try:
-                    rows.append((key, extract(user or "", assistant or "")))
-                except Exception:  # noqa: BLE001, S112
-                    continue
-            yield pd.DataFrame(rows, columns=["session_id", "reply"])
+    Register it by spark.udtf.register(name, ...) for SQL and lateral joins.
+    """
+    marker = re.compile(r"^(?:[-•*]|\d+[.、)）])\s*")
 
-    kind = turns.schema["session_id"].dataType.simpleString()
-    return turns.select("session_id", "user", "assistant").mapInPandas(task, f"session_id {kind}, reply string")
+    class Facts:
+        def eval(self, user: str, assistant: str):  # noqa: ANN202
+            try:
+                reply = extract(user or "", assistant or "") or ""
+            except Exception as e:  # noqa: BLE001  the turn's failure is its row
+                yield None, None, f"{type(e).__name__}: {e}"
+                return
+            bare = (marker.sub("", line.strip(" ")).strip(" ") for line in re.split("\r\n|[\r\n]", reply))
+            for pos, fact in enumerate(list(dict.fromkeys(x for x in bare if x))[:limit]):
+                yield pos, fact, None
+
+    return F.udtf(Facts, returnType="pos int, fact string, error string", useArrow=True)
+
+
+def extracted_facts(turns: DataFrame, extract: Callable[[str, str], str], limit: int = 5) -> DataFrame:
+    """turns(session_id, turn_no, user, assistant) -> (session_id, turn_no, pos, fact, error), by a lateral join."""
+    facts = fact_function(extract, limit)
+    return turns.lateralJoin(facts(F.col("user").outer(), F.col("assistant").outer())).select("session_id", "turn_no", "pos", "fact", "error")

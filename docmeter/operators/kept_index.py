@@ -19,17 +19,23 @@ from docmeter.operators.retrieval import BM25_B, FLOOR, K1, small, top_k
 from docmeter.sources.folders import exists
 
 BUCKETS = 64
+SUMS = "n long, tokens long, buckets int, batch string"
 
 
-def bucket(term: str = "term") -> F.Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def bucket(buckets: int) -> F.Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def _buckets(spark: SparkSession, path: str) -> int | None:
+    """How many buckets the index was begun with."""
+    return spark.read.schema(SUMS).parquet(f"{path}/sums").agg(F.min("buckets")).first()[0] if exists(spark, f"{path}/sums") else None
 
 
 def _batches(spark: SparkSession, path: str, but: str | None = None) -> list[str]:
     """Finished batches."""
     if not exists(spark, f"{path}/sums"):
         return []
-    return [r["batch"] for r in spark.read.schema("n long, tokens long, batch string").parquet(f"{path}/sums").select("batch").distinct().collect() if r["batch"] != but]
+    return [r["batch"] for r in spark.read.schema(SUMS).parquet(f"{path}/sums").select("batch").distinct().collect() if r["batch"] != but]
 
 
 def _table(spark: SparkSession, path: str, name: str, batches: list[str]) -> DataFrame:
@@ -37,8 +43,12 @@ def _table(spark: SparkSession, path: str, name: str, batches: list[str]) -> Dat
     return df.drop("batch")
 
 
-def change(spark: SparkSession, path: str, batch: str, added: DataFrame | None = None, removed: DataFrame | None = None, scope: tuple[str, ...] = ()) -> None:
-    """One batch: added(chunk_id, content, scope...) replace chunks of the same id, removed(chunk_id) go. Of repeated ids in `added`, one stays."""
+def change(spark: SparkSession, path: str, batch: str, added: DataFrame | None = None, removed: DataFrame | None = None, scope: tuple[str, ...] = (), buckets: int = BUCKETS) -> None:
+    """One batch: added(chunk_id, content, scope...) replace chunks of the same id, removed(chunk_id) go. Of repeated ids in `added`, one stays.
+
+    `buckets` are those of a new index: about as many as its postings have GB.
+    """
+    buckets = _buckets(spark, path) or buckets
     before = _batches(spark, path, batch)
     news = added.select("chunk_id", "content", *scope).dropDuplicates(["chunk_id"]) if added is not None else None
     ids = [df.select("chunk_id") for df in (news, removed) if df is not None]
@@ -54,15 +64,15 @@ def change(spark: SparkSession, path: str, batch: str, added: DataFrame | None =
         chunks.append(words.select("chunk_id", "dl", F.lit(1).alias("sign")))
     if not posts:
         return
-    _write(reduce(DataFrame.unionByName, posts).withColumn("bucket", bucket()).repartition("bucket", "term"), f"{path}/postings/batch={batch}", "bucket")
+    _write(reduce(DataFrame.unionByName, posts).withColumn("bucket", bucket(buckets)).repartition("bucket", "term"), f"{path}/postings/batch={batch}", "bucket")
     _write(reduce(DataFrame.unionByName, chunks), f"{path}/chunks/batch={batch}")
-    _finish(spark, path, batch)
+    _finish(spark, path, batch, buckets)
 
 
-def _finish(spark: SparkSession, path: str, batch: str) -> None:
+def _finish(spark: SparkSession, path: str, batch: str, buckets: int) -> None:
     """What follows from a batch's postings and chunks: its changes of df, N and tokens."""
     _write(_table(spark, path, "postings", [batch]).groupBy("bucket", "term").agg(F.sum("sign").alias("df")).where("df <> 0"), f"{path}/terms/batch={batch}", "bucket")
-    _write(_table(spark, path, "chunks", [batch]).agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("dl") * F.col("sign")), F.lit(0)).cast("long").alias("tokens")), f"{path}/sums/batch={batch}")
+    _write(_table(spark, path, "chunks", [batch]).agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("dl") * F.col("sign")), F.lit(0)).cast("long").alias("tokens"), F.lit(buckets).alias("buckets")), f"{path}/sums/batch={batch}")
 
 
 def _write(df: DataFrame, path: str, by: str | None = None) -> None:
@@ -89,12 +99,12 @@ def search(questions: DataFrame, path: str, k: int = 20, scope: tuple[str, ...]
     """questions(query_id, query, scope...) over the kept index. A null scope value sees all chunks."""
     spark = questions.sparkSession
     idf, sums = stats(spark, path)
-    asked = questions.select("query_id", *(F.col(c).alias(f"q_{c}") for c in scope), F.explode(text.terms("query")).alias("term")).groupBy("query_id", *(f"q_{c}" for c in scope), "term").agg(F.count("*").alias("times")).withColumn("bucket", bucket())
-    buckets = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # at most BUCKETS
-    posts = _table(spark, path, "postings", _batches(spark, path)).where(F.col("bucket").isin(buckets))
+    asked = questions.select("query_id", *(F.col(c).alias(f"q_{c}") for c in scope), F.explode(text.terms("query")).alias("term")).groupBy("query_id", *(f"q_{c}" for c in scope), "term").agg(F.count("*").alias("times")).withColumn("bucket", bucket(_buckets(spark, path)))
+    asked_buckets = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # a number a bucket
+    posts = _table(spark, path, "postings", _batches(spark, path)).where(F.col("bucket").isin(asked_buckets))
     met = posts.join(small(asked.select("bucket", "term").distinct()), ["bucket", "term"])
     net = _net(met, "bucket", "term", "chunk_id", "tf", "dl", *scope)
-    both = net.join(small(asked.join(idf.where(F.col("bucket").isin(buckets)), ["bucket", "term"])), ["bucket", "term"])
+    both = net.join(small(asked.join(idf.where(F.col("bucket").isin(asked_buckets)), ["bucket", "term"])), ["bucket", "term"])
     for c in scope:
         both = both.where(F.col(f"q_{c}").isNull() | (F.col(f"q_{c}") == F.col(c)))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
@@ -109,4 +119,4 @@ def compact(spark: SparkSession, path: str, into: str) -> None:
     key = [c for c in posts.columns if c not in ("sign", "bucket")]
     _write(_net(posts, "bucket", *key).withColumn("sign", F.lit(1)), f"{into}/postings/batch=0", "bucket")
     _write(_net(_table(spark, path, "chunks", batches), "chunk_id", "dl").withColumn("sign", F.lit(1)), f"{into}/chunks/batch=0")
-    _finish(spark, into, "0")
+    _finish(spark, into, "0", _buckets(spark, path))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmeter.functions import text
+from docmeter.operators.retrieval import small
 
 #: The local model that costs nothing.
 BUILTIN = [("fake", 0.0, 0.0)]
@@ -34,7 +35,7 @@ def prices(spark: SparkSession, overrides: DataFrame | None = None) -> tuple[Dat
 
 def with_cost(records: DataFrame, price: DataFrame) -> DataFrame:
     """Q2: cost to 8 decimals; null with a note if tokens or the price are unknown. Prices are one row a model."""
-    both = records.join(F.broadcast(price), "model", "left")
+    both = records.join(small(price), "model", "left")
     cost = F.round(F.col("input_tokens") / 1000 * F.col("price_in") + F.col("output_tokens") / 1000 * F.col("price_out"), 8)
     note = F.when(F.col("input_tokens").isNull() | F.col("output_tokens").isNull(), "tokens unknown").when(F.col("price_in").isNull(), "price unknown").otherwise(F.col("origin"))
     return both.select(*records.columns, cost.alias("cost"), note.alias("price_note"))
@@ -55,6 +56,12 @@ def summary(records: DataFrame) -> DataFrame:
     return out.select("by", F.coalesce(F.col("user_id").cast("string"), "day", "source").alias("key"), "cost", "priced", "unpriced", "records")
 
 
+def in_cost_order(breakdown: DataFrame) -> DataFrame:
+    """summary() rows with their position in each breakdown: by cost, unknown costs last, then by key."""
+    order = Window.partitionBy("by").orderBy(F.round("cost", 8).desc_nulls_last(), "key")
+    return breakdown.withColumn("position", F.row_number().over(order))
+
+
 def with_names(rows: DataFrame, users: DataFrame, key: str = "user_id") -> DataFrame:
     """The display name, the id where there is none."""
     return rows.join(users.select(F.col("id").alias(key), "username"), key, "left").withColumn("username", F.coalesce("username", F.col(key).cast("string")))

@@ -34,7 +34,7 @@ def a4_cost_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {RECORDS} SELECT user_id, round(coalesce(sum(cost), 0), 4) AS spent, count(*) FILTER (cost IS NULL) AS unknown FROM records WHERE created_at IS NULL OR created_at >= {AS_OF} - INTERVAL 7 DAY GROUP BY user_id")
 def a5_spent_in_window(spark: SparkSession, d: str) -> DataFrame:
-    """A5, F19, P8."""
+    """A5, P8."""
     return usage.spent(records(spark, d), F.expr(f"{AS_OF} - interval 7 days")).withColumn("spent", F.round("spent", 4))
 
 
@@ -82,7 +82,7 @@ def q8_low_balance(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {RECORDS} SELECT user_id, coalesce(c_name, CAST(user_id AS VARCHAR)) AS username, n FROM (SELECT user_id, count(*) AS n FROM records WHERE id % 3 > 0 GROUP BY ALL) LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON c_custkey = user_id")
 def j4_usage_by_name(spark: SparkSession, d: str) -> DataFrame:
-    """Even users have names; every third record was a cache hit."""
+    """Even users have names; every third record was a cache hit."""
     users = read(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"))
     rows = usage.billable(records(spark, d).withColumn("cache_hit", F.col("id") % 3 == 0))
     return usage.with_names(rows.groupBy("user_id").agg(F.count("*").alias("n")), users).select("user_id", "username", "n")
@@ -98,7 +98,7 @@ sized AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn_no
 
 @query(f"WITH {TURNS} SELECT session_id, turn_no, user_text AS \"user\", assistant, last_id FROM turns")
 def g1_turns(spark: SparkSession, d: str) -> DataFrame:
-    """G1, W2, W3."""
+    """G1, W3."""
     return conversation.turns(messages(spark, d))
 
 
@@ -106,7 +106,7 @@ def g1_turns(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT session_id, count(*) AS n, sum(tokens) AS tokens, count(*) FILTER (back > 1) AS early, max(last_id) FILTER (back > 1) AS last, string_agg(user_text, chr(10) ORDER BY turn_no) FILTER (back > 1) AS summary FROM t GROUP BY ALL)
 SELECT session_id, CASE WHEN n > 1 AND tokens > 60 THEN summary END AS summary, CASE WHEN n > 1 AND tokens > 60 THEN early ELSE 0 END AS dropped, CASE WHEN n > 1 AND tokens > 60 THEN 1 ELSE n END AS kept, CASE WHEN n > 1 AND tokens > 60 THEN last END AS cursor, CASE WHEN n <= 1 THEN 'few turns' WHEN tokens <= 60 THEN 'within budget' END AS skip_reason FROM s""")
 def g2_context_plan(spark: SparkSession, d: str) -> DataFrame:
-    """One turn stays, a budget of 60 tokens."""
+    """One turn stays, a budget of 60 tokens."""
     p = conversation.plan(conversation.turns(messages(spark, d)), 60, 1)
     return p.select("session_id", "summary", F.col("dropped").cast("long").alias("dropped"), F.size("kept").cast("long").alias("kept"), "cursor", "skip_reason")
 
@@ -125,7 +125,7 @@ def g14_rewrite_context(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH l AS (SELECT doc_id, list_filter([trim(regexp_replace(trim(x), '^(?:[-•*]|\\d+[.、)）])\\s*', '')) FOR x IN string_split(text, chr(10))], lambda x: x <> '') AS l FROM documents), u AS (SELECT doc_id, unnest(l) AS fact, unnest(range(len(l))) AS i FROM l), f AS (SELECT doc_id, fact, min(i) AS i FROM u GROUP BY ALL) SELECT doc_id AS session_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, fact FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 5")
 def g8_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Documents stand for replies."""
+    """Documents stand for replies."""
     return conversation.facts(read(spark, d, "documents").select(F.col("doc_id").alias("session_id"), F.col("text").alias("reply"))).withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -164,7 +164,7 @@ def g12_semantic_cache(spark: SparkSession, d: str) -> DataFrame:
     """G12, J17, T7 at 0.3: labels stand for knowledge bases, every eleventh question names a table."""
     v = read(spark, d, "embeddings")
     asked = v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("kb_id"), F.col("vec_id").alias("at"), F.when(F.col("vec_id") % 11 == 0, "表3.1").otherwise("what").alias("question"), F.when(F.col("vec_id") % 5 > 0, F.concat(F.lit("answer "), F.col("vec_id").cast("string"))).alias("answer"), F.col("embedding").alias("vector"), (F.col("vec_id") % 7 == 0).alias("own_key"))
-    return conversation.cache_matches(asked, 0.3)
+    return conversation.cache_matches(asked, 0.3).select("query_id", "hit_id", "score", "hit_answer")
 
 
 @query(f"WITH {MESSAGES} SELECT session_id, count(*) AS messages, substr(arg_max(content, seq), 1, 60) AS preview, coalesce(substr(trim(replace(arg_min(content, seq) FILTER (role = 'user'), chr(10), ' ')), 1, 30), '新会话') AS title, max(seq) AS last FROM messages GROUP BY session_id")
@@ -175,7 +175,7 @@ def a9_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {MESSAGES}, l AS (SELECT session_id % 9 AS user_id, max({{'at': session_id % 17, 'session_id': session_id}}).session_id AS session_id FROM messages GROUP BY 1) SELECT user_id, session_id, seq, content FROM messages JOIN l USING (session_id)")
 def t6_latest_session(spark: SparkSession, d: str) -> DataFrame:
-    """T6, W11."""
+    """T6."""
     m = messages(spark, d).withColumn("user_id", F.col("session_id") % 9).withColumn("at", F.col("session_id") % 17)
     return conversation.latest_session(m, ["user_id"]).select("user_id", "session_id", "seq", "content")
 
@@ -386,7 +386,7 @@ def a16_answered(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderpriority, sum(o_totalprice) AS sum_o_totalprice FROM orders WHERE o_custkey % 3 = 1 AND o_totalprice >= 1000 AND o_orderstatus IN ('O', 'F') AND contains(o_orderpriority, '-') GROUP BY ALL ORDER BY 2 DESC LIMIT 20".replace("sum(o_totalprice)", "round(sum(o_totalprice), 2)"))
 def p3_metadata_query(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as the listed table."""
+    """Orders as the listed table."""
     orders = metaquery.Listed(read(spark, d, "orders").withColumn("owner_id", F.col("o_custkey") % 3), ["o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority"], ["o_totalprice"])
     spec = {"table": "orders", "filters": [{"field": "o_totalprice", "op": "ge", "value": 1000}, {"field": "o_orderstatus", "op": "in", "value": ["O", "F"]}, {"field": "o_orderpriority", "op": "contains", "value": "-"}], "aggregate": {"fn": "sum", "field": "o_totalprice"}, "group_by": ["o_orderpriority"]}
     return metaquery.run(spec, {"orders": orders}, 1).withColumn("sum_o_totalprice", F.round("sum_o_totalprice", 2))

@@ -59,10 +59,10 @@ RECORDS = """records AS (SELECT event_id AS id, user_id, ts AS created_at, event
 CJK = "[㐀-䶿一-鿿]"
 PAIRS = "[substr({0}, CAST(i AS INTEGER), 2) FOR i IN range(1, greatest(length({0}), 2))]"
 TERMS = f"list_concat(regexp_extract_all(regexp_replace(lower(coalesce({{0}}, '')), '{CJK}', ' ', 'g'), '[\\p{{{{L}}}}\\p{{{{M}}}}\\p{{{{N}}}}]+'), flatten([{PAIRS.format('r')} FOR r IN regexp_extract_all(lower(coalesce({{0}}, '')), '{CJK}+')]))"
-BM25 = f"""post AS (SELECT chunk_id, len(w) AS dl, unnest(w) AS term FROM (SELECT chunk_id, {TERMS.format('content')} AS w FROM corpus)),
-tf AS (SELECT chunk_id, term, any_value(dl) AS dl, count(*) AS tf FROM post GROUP BY chunk_id, term),
-lens AS (SELECT count(*) AS n, avg(len({TERMS.format('content')})) AS avgdl FROM corpus),
-raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), lens),
+BM25 = f"""post AS MATERIALIZED (SELECT chunk_id, len(w) AS dl, unnest(w) AS term FROM (SELECT chunk_id, {TERMS.format('content')} AS w FROM corpus)),
+tf AS MATERIALIZED (SELECT chunk_id, term, any_value(dl) AS dl, count(*) AS tf FROM post GROUP BY chunk_id, term),
+lens AS MATERIALIZED (SELECT (SELECT count(*) FROM corpus) AS n, (SELECT count(*) FROM post) / (SELECT count(*) FROM corpus) AS avgdl),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), lens),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
 asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({TERMS.format('query')}) AS term FROM questions) GROUP BY ALL),
 bm AS (SELECT query_id, chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN asked USING (term) JOIN idf USING (term), lens GROUP BY ALL),
