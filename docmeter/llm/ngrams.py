@@ -31,8 +31,10 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
@@ -115,12 +117,22 @@ def tokens(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray,
         yield i, j, key, np.repeat(np.arange(j - i), n + 1)
 
 
-def grams(ids: np.ndarray, text: np.ndarray, order: int) -> list[np.ndarray]:
-    """Columns of ids, the last word's last; BEGIN stands before each text."""
-    nth = np.arange(len(ids)) - np.searchsorted(text, text)
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values in order, and each row's place among them."""
+    code, one = pd.factorize(key)
+    by = np.argsort(one)
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    return one[by], place[code]
+
+
+def grams(ids: np.ndarray, text: np.ndarray, order: int, begin: int = BEGIN) -> list[np.ndarray]:
+    """Columns of ids, the last word's last; `begin` stands before each text."""
+    first = np.flatnonzero(np.diff(text, prepend=-1))
+    nth = np.arange(len(ids)) - np.repeat(first, np.diff(first, append=len(ids)))
     out = []
     for back in range(order - 1, 0, -1):
-        c = np.full(len(ids), BEGIN, np.int64)
+        c = np.full(len(ids), begin, np.int64)
         c[nth >= back] = ids[np.flatnonzero(nth >= back) - back]
         out.append(c)
     return [*out, ids]
@@ -138,7 +150,11 @@ def summed(columns: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarra
     """Different rows in order, with their counts added up."""
     if not len(count):
         return columns, count
-    order = np.lexsort(columns[::-1])
+    # neighbouring columns that fit one number are sorted as one
+    bits = int(max(c.max() for c in columns)).bit_length()
+    each = max(1, 63 // max(1, bits))
+    keys = [reduce(lambda a, b: (a << bits) | b, columns[k : k + each]) for k in range(0, len(columns), each)]
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
     columns = [c[order] for c in columns]
     new = np.ones(len(order), bool)
     new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
@@ -146,6 +162,17 @@ def summed(columns: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarra
     return [c[at] for c in columns], np.add.reduceat(count[order], at)
 
 
+def counted(ids: np.ndarray, which: np.ndarray, text: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The n-grams of a slice whose tokens are `which` of `ids`: different ones in order, and how often each stands."""
+    own, local = np.unique(np.append(ids, BEGIN), return_inverse=True)
+    bits = len(own).bit_length()
+    columns = grams(local[:-1][which], text, order, int(local[-1]))
+    if bits * order > 63:
+        return summed([own[c] for c in columns], np.ones(len(which), np.int64))
+    one, count = np.unique(reduce(lambda a, b: (a << bits) | b, columns), return_counts=True)
+    return [own[(one >> (bits * k)) & ((1 << bits) - 1)] for k in range(order - 1, -1, -1)], count
+
+
 def packed(columns: list[np.ndarray], count: np.ndarray) -> bytes:
     """Sorted rows as compressed byte planes."""
     first = np.diff(columns[0], prepend=np.int64(0))
@@ -265,9 +292,8 @@ def _gram_task(folder: str, bits: int, places: Places, s: Settings) -> object:
         vocabulary = Vocabulary(folder, bits)
         for batch in batches:
             for _, _, key, text in tokens(batch.column("text"), s.slice_bytes):
-                word, which = np.unique(key, return_inverse=True)
-                columns, count = summed(grams(vocabulary.find(word)[0][which], text, s.order), np.ones(len(key), np.int64))
-                rows = list(dealt(columns, count, places))
+                word, which = distinct(key)
+                rows = list(dealt(*counted(vocabulary.find(word)[0], which, text, s.order), places))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "blob"])
 
     return task
@@ -275,7 +301,7 @@ def _gram_task(folder: str, bits: int, places: Places, s: Settings) -> object:
 
 def table_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different values and each one's place among them."""
-    uniq, code = np.unique(values, return_inverse=True)
+    code, uniq = pd.factorize(values)
     return uniq, least(code)
 
 
@@ -303,7 +329,9 @@ def _shard_task(folder: str, order: int, places: Places) -> object:
         sums = [np.add.reduceat(x.astype(np.int64), at) for x in (count, count == 1, count == 2, count > 2)]
         one = fold([c[at] for c in context], len(at))
         by = np.argsort(one)
-        _, first, code = np.unique(fold(sums, len(at)), return_index=True, return_inverse=True)
+        code, different = pd.factorize(fold(sums, len(at)))
+        first = np.empty(len(different), np.int64)
+        first[code[::-1]] = np.arange(len(at))[::-1]
         save(folder, f"grams-{order}-{shard}", arrays + [*halves(one[by]), least(code[by]), *(least(x[first]) for x in sums)])
         out = []
         if order > 1:
@@ -374,59 +402,70 @@ class Reader:
         self.file = functools.lru_cache(4096)(lambda k, shard: opened(m.folder, f"grams-{k}-{shard}"))
 
     def find(self, order: int, what: int, shard: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
-        """Of different (shard, key): the stored values (an n-gram's count; a context's total and three numbers), 0 where there is none."""
-        by = np.lexsort((key, shard))
+        """Of each (shard, key): the stored values (an n-gram's count; a context's total and three numbers), 0 where there is none.
+
+        Rows are looked up in the files' own order, so that neighbours read the same pages.
+        """
+        high, low = halves(key)
+        if self.m.shards <= 1 << 16:
+            by = np.argsort((shard.astype(np.uint64) << np.uint64(48)) | (key >> np.uint64(16)))
+        else:
+            by = np.lexsort((key, shard))
+        shard, high, low = shard[by], high[by], low[by]
         out = [np.zeros(len(key), np.int64) for _ in range(1 if what == 0 else 4)]
-        cuts = np.flatnonzero(np.diff(shard[by])) + 1
-        for at in np.split(by, cuts):
-            if not len(at):
-                continue
+        for lo, hi in zip(first := np.flatnonzero(np.diff(shard, prepend=-1)), [*first[1:], len(shard)], strict=True):
             try:
-                arrays = self.file(order, int(shard[at[0]]))
+                arrays = self.file(order, int(shard[lo]))
             except FileNotFoundError:  # a shard without n-grams
                 continue
-            high, low, code, *values = arrays[:4] if what == 0 else arrays[4:]
-            mine = halves(key[at])
-            place = np.searchsorted(high, mine[0])
-            open_ = np.arange(len(at))
-            while len(open_):
-                open_ = open_[place[open_] < len(high)]
-                open_ = open_[high[place[open_]] == mine[0][open_]]
-                hit = low[place[open_]] == mine[1][open_]
+            have, rest, code, *values = arrays[:4] if what == 0 else arrays[4:]
+            place, at = np.searchsorted(have, high[lo:hi]), np.arange(hi - lo)
+            while True:
+                at = at[place[at] < len(have)]
+                at = at[have[place[at]] == high[lo:hi][at]]
+                if not len(at):
+                    break
+                same = rest[place[at]] == low[lo:hi][at]
+                hit = at[same]
                 for o, v in zip(out, values, strict=True):
-                    o[at[open_[hit]]] = v[code[place[open_[hit]]]]
-                open_ = open_[~hit]
-                place[open_] += 1
+                    o[by[lo + hit]] = v[code[place[hit]]]
+                at = at[~same]
+                place[at] += 1
         return out
 
+    def values(self, order: int, what: int, columns: list[np.ndarray]) -> list[np.ndarray]:
+        """find() for n-grams (what 0) or contexts (what 1) of ids; single ids are looked up once each."""
+        back = None
+        if len(columns) == 1:
+            back, one = pd.factorize(columns[0])
+            columns = [one]
+        n = len(columns[0])
+        key = fold(columns, n)
+        if what == 0:
+            out = self.find(order, 0, self.places.of(columns), key)
+        else:
+            base, spread, out = self.places.base(columns, n), self.places.spread(columns, n), [np.zeros(n, np.int64) for _ in range(4)]
+            for k in range(int(spread.max(initial=0))):
+                at = np.flatnonzero(spread > k)
+                for a, b in zip(out, self.find(order, 1, ((base[at] + np.uint64(k)) % np.uint64(self.m.shards)).astype(np.int64), key[at]), strict=True):
+                    a[at] += b
+        return out if back is None else [x[back] for x in out]
+
     def probabilities(self, columns: list[np.ndarray]) -> np.ndarray:
         """p of each row's last id after the others."""
-        n, m = len(columns[-1]), self.m
-        p = np.full(n, 1 / (m.n_words + 1))
+        m = self.m
+        p = np.full(len(columns[-1]), 1 / (m.n_words + 1))
         for order in range(1, m.order + 1):
             part = columns[m.order - order :]
-            key = fold(part, n)
-            _, first, back = np.unique(key, return_index=True, return_inverse=True)
-            one = [c[first] for c in part]
-            (count,) = self.find(order, 0, self.places.of(one), key[first])
+            (count,) = self.values(order, 0, part)
             less = self.less[order]
             own = np.maximum(count - less[np.minimum(count, 3)], 0)
             if order == 1:
                 f = m.figures[1]
                 total, freed = np.full(len(own), f[5]), np.full(len(own), less[1:] @ np.array([f[0], f[1], f[4] - f[0] - f[1]], float))
             else:
-                held = fold(part[:-1], n)
-                _, lead, follow = np.unique(held, return_index=True, return_inverse=True)
-                context = [c[lead] for c in part[:-1]]
-                base, spread = self.places.base(context, len(lead)), self.places.spread(context, len(lead))
-                sums = [np.zeros(len(lead), np.int64) for _ in range(4)]
-                for k in range(int(spread.max(initial=0))):
-                    at = np.flatnonzero(spread > k)
-                    for a, b in zip(sums, self.find(order, 1, ((base[at] + np.uint64(k)) % np.uint64(m.shards)).astype(np.int64), held[lead[at]]), strict=True):
-                        a[at] += b
-                total, freed = sums[0][follow], (less[1] * sums[1] + less[2] * sums[2] + less[3] * sums[3])[follow]
-                own, back = own[back], slice(None)
-            own, total, freed = own[back], total[back], freed[back]
+                total, *kinds = self.values(order, 1, part[:-1])
+                freed = less[1] * kinds[0] + less[2] * kinds[1] + less[3] * kinds[2]
             seen = total > 0
             p[seen] = own[seen] / total[seen] + freed[seen] / total[seen] * p[seen]
         return p
@@ -441,7 +480,7 @@ def perplexities(docs: DataFrame, model: Model, s: Settings = Settings()) -> Dat
         reader = Reader(Model(**known))
         for batch in batches:
             for i, j, key, text in tokens(batch.column("text"), s.slice_bytes):
-                word, which = np.unique(key, return_inverse=True)
+                word, which = distinct(key)
                 ids, count = (x[which] for x in reader.vocabulary.find(word))
                 first = np.searchsorted(text, np.arange(j - i))
                 n = np.diff(first, append=len(text))
