@@ -5,7 +5,8 @@ one edit have reduced words within one edit, so the one-edit neighbourhoods of a
 the reduced vocabulary, meet every near pair; the words behind each met pair are then compared as they are written
 (Levenshtein distance exactly 1). A pair of reduced words is met from one side only, the longer or larger one, which
 leaves about length * (symbols + 2) / 2 members of a neighbourhood to shuffle, where the whole alphabet would give
-length * 90. The join's keys are short strings that no single word dominates.
+length * 90. The join's keys are short strings that no single word dominates. Words of more than 40 code points, whose
+neighbourhoods would grow with the square of their length, meet by their halves instead: one edit leaves one half whole.
 
 A word's form is its most frequent near word, if that is at least twice as frequent; roots follow the forms to the end by
 pointer doubling, a join a step over tables in the shared folder (a chain at least doubles its count with each form, so it
@@ -44,6 +45,7 @@ class Settings:
     least_length: int = 5  # code points
     least_count: int = 3
     noise: int = 97  # one (document, run) in so many loses a code point; 0: none
+    whole: int = 40  # code points up to which neighbourhoods are made; longer words meet by halves
     factor: int = 2  # times a word's count that its form's must be
 
 
@@ -106,15 +108,33 @@ def neighbourhood(r: Column, symbols: int) -> Column:
     return F.array_distinct(F.concat(F.array(r), deleted, replaced))
 
 
+def long_pairs(words: DataFrame, s: Settings) -> DataFrame:
+    """(word, n, near, near_n) candidates of which one at least is longer than `whole` code points, each way once.
+
+    Words within one edit, the shorter of m code points, share their first or their last m div 2: four hashes a word.
+    """
+    long = words.where(F.length("word") >= s.whole)
+    halves = []
+    for less in (0, 1):
+        m = F.length("word") - less
+        size = F.floor(m / 2).cast("int")
+        halves += [F.xxhash64(m, F.lit("first"), F.substr("word", F.lit(1), size)), F.xxhash64(m, F.lit("last"), F.substr("word", F.length("word") - size + 1))]
+    keyed = long.select("word", "n", F.explode(F.array(*halves)).alias("key"))
+    other = keyed.select(F.col("word").alias("near"), F.col("n").alias("near_n"), "key")
+    met = keyed.join(other, "key").where("word < near").where((F.length("word") > s.whole) | (F.length("near") > s.whole))
+    return met.select("word", "n", "near", "near_n").distinct()
+
+
 def near_words(words: DataFrame, s: Settings) -> DataFrame:
     """words(word, n) -> (word, n, near, near_n), a row for each ordered pair exactly one edit apart."""
-    keyed = words.withColumn("r", reduced(F.col("word"), s.symbols))
+    keyed = words.where(F.length("word") <= s.whole).withColumn("r", reduced(F.col("word"), s.symbols))
     # different reduced words meet by their neighbourhoods, then stand for all their words
     known = keyed.select("r").distinct()
     met = known.select("r", F.explode(neighbourhood(F.col("r"), s.symbols)).alias("q")).join(known.withColumnRenamed("r", "q"), "q")
     left = keyed.join(met, "r").select("word", "n", "r", "q")
     right = keyed.select(F.col("r").alias("q"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    pair = left.join(right, "q").where("r <> q or word < near").where(F.levenshtein("word", "near", 1) == 1)
+    short = left.join(right, "q").where("r <> q or word < near").select("word", "n", "near", "near_n")
+    pair = short.unionByName(long_pairs(words, s)).where(F.levenshtein("word", "near", 1) == 1)
     ways = F.array(*(F.struct(F.col(a).alias("word"), F.col(b).alias("n"), F.col(c).alias("near"), F.col(d).alias("near_n")) for a, b, c, d in (("word", "n", "near", "near_n"), ("near", "near_n", "word", "n"))))
     return pair.select(F.inline(ways))
 
