@@ -88,7 +88,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mix_languages),
 ]
 
-#: The classifier, the sketches and the fit are beyond SQL; tests hold every stage against a brute-force version.
+#: The classifier, the sketches and the fit are beyond SQL; tests hold the stages against brute force and literal cases.
 ORACLE_SQL: str | None = None
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmeter.llm.decontaminate import words
-from docmeter.llm.shared import joined, small_batches, table, written
+from docmeter.llm.shared import forget, joined, small_batches, table, written
 
 #: Target shares of tokens by domain (language).
 TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
@@ -40,6 +40,7 @@ class Settings:
     sharpness: float = 6.0  # words of evidence that the average log-likelihood counts for
     steps: int = 60
     scaled_steps: int = 60  # passes at most with steps scaled by the Gram matrix
+    rewrite: int = 16  # steps after which the rates are written
     close: float = 1e-4  # relative distance to the targets at which the steps end
 
 
@@ -77,67 +78,100 @@ def posteriors(documents: DataFrame, weights: DataFrame, prior: list[float], s:
     return summed.select("doc_id", "hash", (F.col("words") / F.col("times")).alias("n_tokens"), "times", scaled.alias("z")).withColumn("e", top).select("doc_id", "hash", "n_tokens", "times", p.alias("p"))
 
 
-def rate(residuals: list[list[float]], step: float) -> F.Column:
-    """A document's rate after the steps of the given residuals."""
+def rated(members: DataFrame, residuals: list[list[float]], step: float) -> DataFrame:
+    """members(r, p, ...) with r moved by the steps of the given residuals. The steps are data of one row, not part of the plan: Spark compiles it once."""
     if not residuals:
-        return F.lit(1.0)
-    steps = F.array(*(F.array(*(F.lit(float(step * x)) for x in r)) for r in residuals))
+        return members
+    row = members.sparkSession.createDataFrame([([[float(step * x) for x in r] for r in residuals],)], "steps array<array<double>>")
     pull = lambda r: F.aggregate(F.zip_with("p", r, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(steps, F.lit(1.0), lambda r, x: F.greatest(F.lit(0.0), r + pull(x)))
-
-
-def fit(members: DataFrame, targets: list[float], s: Settings) -> tuple[list[list[float]], float]:
-    """Residuals of all steps (K numbers each) and the step length, for members(n_tokens, times, p)."""
-    k = len(targets)
-    n = F.col("n_tokens") * F.col("times")
-    gram = [[F.sum(n * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for j in range(k)] for i in range(k)]
-    first = members.agg(F.sum(n).alias("n"), *(g for row in gram for g in row)).first()
-    total = first["n"] or 0.0
-    if not total:
-        return [], 1.0
-    # the largest eigenvalue is at most the largest row sum
-    step = 1.0 / max(sum(first[f"g{i}_{j}"] for j in range(k)) / total for i in range(k))
-    residuals: list[list[float]] = []
-
-    def measured(scaled: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    moved = F.aggregate("steps", F.col("r"), lambda r, x: F.greatest(F.lit(0.0), r + pull(x)))
+    return members.join(F.broadcast(row), how="cross").withColumn("r", moved).drop("steps")
+
+
+class Fit:
+    """Rates of members(n_tokens, times, p) that move towards the targets.
+
+    Steps since the last rewrite are a few residuals (K numbers each); every `rewrite` steps the rates are written beside
+    the posteriors, so a pass replays at most that many.
+    """
+
+    def __init__(self, members: DataFrame, targets: list[float], s: Settings):
+        self.members, self.targets, self.s, self.k = members, np.array(targets), s, len(targets)
+        self.residuals: list[list[float]] = []
+        self.step, self.total, self.left = 1.0, 0.0, 0.0
+
+    def measured(self, scaled: bool) -> tuple[np.ndarray, np.ndarray | None]:
         """What is missing to the targets, and for scaled steps the Gram matrix of the documents with a rate over 0."""
+        n, k = F.col("n_tokens") * F.col("times"), self.k
         kept = F.when(F.col("r") > 0, n).otherwise(0.0)
         grams = [F.sum(kept * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k) if scaled]
-        row = members.withColumn("r", rate(residuals, step)).agg(*(F.sum(F.col("r") * n * F.col("p")[i]).alias(f"t{i}") for i in range(k)), *grams).first()
-        return np.array([targets[i] - row[f"t{i}"] / total for i in range(k)]), np.array([[row[f"g{i}_{j}"] for j in range(k)] for i in range(k)]) / total if scaled else None
-
-    off, _ = measured(False)
-    for nth in range(s.steps):
-        if np.abs(off).max() <= s.close:
-            return residuals, step
-        residuals.append(off.tolist())
-        off, now = measured(nth == s.steps - 1)
-    share, pull = 1.0, np.linalg.lstsq(now, off, rcond=1e-9)[0]
-    for _ in range(s.scaled_steps):
-        if np.abs(off).max() <= s.close or share < 1e-4:
-            break
-        residuals.append((share * pull / step).tolist())
-        new, gram_ = measured(True)
-        if new @ new < off @ off:
-            off, share, pull = new, min(1.0, 2 * share), np.linalg.lstsq(gram_, new, rcond=1e-9)[0]
-        else:
-            residuals.pop()
-            share /= 2
-    if np.abs(off).max() > s.close:
-        warnings.warn(f"mixing: the targets are not met; left residuals {[round(float(x), 6) for x in off]} of all tokens", stacklevel=2)
-    return residuals, step
+        row = rated(self.members, self.residuals, self.step).agg(*(F.sum(F.col("r") * n * F.col("p")[i]).alias(f"t{i}") for i in range(k)), *grams).first()
+        off = self.targets - np.array([row[f"t{i}"] for i in range(k)]) / self.total
+        return off, np.array([[row[f"g{i}_{j}"] for j in range(k)] for i in range(k)]) / self.total if scaled else None
+
+    def rewrite(self, least: int) -> None:
+        if len(self.residuals) >= max(1, least):
+            before, self.members = self.members, written(rated(self.members, self.residuals, self.step), "members")
+            self.residuals = []
+            if hasattr(before, "written_to"):
+                forget(before)
+
+    def run(self) -> DataFrame:
+        """members(..., r) with the fitted rates; `left` is the largest distance to a target, in shares of all tokens."""
+        n, k, s = F.col("n_tokens") * F.col("times"), self.k, self.s
+        gram = [[F.sum(n * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for j in range(k)] for i in range(k)]
+        first = self.members.agg(F.sum(n).alias("n"), *(g for row in gram for g in row)).first()
+        self.total = first["n"] or 0.0
+        if not self.total:
+            return self.members
+        # the largest eigenvalue is at most the largest row sum
+        self.step = 1.0 / max(sum(first[f"g{i}_{j}"] for j in range(k)) / self.total for i in range(k))
+        off, gram_ = self.measured(False)
+        for nth in range(s.steps):
+            if np.abs(off).max() <= s.close:
+                break
+            self.residuals.append(off.tolist())
+            self.rewrite(s.rewrite)
+            off, gram_ = self.measured(nth == s.steps - 1)
+        if gram_ is not None:
+            off = self.scaled(off, gram_)
+        self.left = float(np.abs(off).max())
+        if self.left > s.close:
+            warnings.warn(f"mixing: the targets are not met; left residuals {[round(float(x), 6) for x in off]} of all tokens", stacklevel=3)
+        self.rewrite(1)
+        return self.members
+
+    def scaled(self, off: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        """Further steps, scaled by the Gram matrix and halved until they come nearer."""
+        s, share, pull = self.s, 1.0, np.linalg.lstsq(gram, off, rcond=1e-9)[0]
+        for _ in range(s.scaled_steps):
+            if np.abs(off).max() <= s.close or share < 1e-4:
+                break
+            self.rewrite(s.rewrite)
+            self.residuals.append((share * pull / self.step).tolist())
+            new, gram = self.measured(True)
+            if new @ new < off @ off:
+                off, share, pull = new, min(1.0, 2 * share), np.linalg.lstsq(gram, new, rcond=1e-9)[0]
+            else:
+                self.residuals.pop()
+                share /= 2
+        return off
 
 
 def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], s: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """documents (doc_id, text) -> (doc_id, n_tokens, p, rate), a row a document; labelled(doc_id, domain)."""
+    """documents (doc_id, text) -> (doc_id, n_tokens, p, rate, off_target), a row a document; labelled(doc_id, domain).
+
+    off_target, the same in every row, is the largest distance of an expected share from its target: over `close`, the
+    documents cannot meet the targets.
+    """
     small_batches(documents.sparkSession)
     domains = sorted(targets)
     known = labelled.where("doc_id is not null").where(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.max("domain").alias("domain"))
     share = sum(targets.values())
     weights, prior = classifier(documents, known, domains, s)
-    members = written(posteriors(documents, weights, prior, s), "members")
-    residuals, step = fit(members, [targets[d] / share for d in domains], s) if not known.isEmpty() else ([], 1.0)
-    return members.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), "p", rate(residuals, step).alias("rate"), F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("one")).drop("one")
+    fit = Fit(written(posteriors(documents, weights, prior, s).withColumn("r", F.lit(1.0)), "members"), [targets[d] / share for d in domains], s)
+    members = fit.members if known.isEmpty() else fit.run()
+    return members.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), "p", F.col("r").alias("rate"), F.lit(fit.left).alias("off_target"), F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("one")).drop("one")
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

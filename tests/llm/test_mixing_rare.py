@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docmeter.llm import mixing
 
@@ -13,10 +14,12 @@ def members(spark, counts, sharp=0.96):
 
 
 def left(df, targets):
-    found = mixing.fit(df, targets, mixing.Settings())
-    got = df.withColumn("rate", mixing.rate(*found)).toPandas()
-    p, n, r = np.stack(got["p"]), got["n_tokens"].to_numpy(), got["rate"].to_numpy()
-    return np.abs((p * (n * r)[:, None]).sum(0) / n.sum() - targets).max()
+    fit = mixing.Fit(df.withColumn("r", F.lit(1.0)), targets, mixing.Settings())
+    got = fit.run().toPandas()
+    p, n, r = np.stack(got["p"]), got["n_tokens"].to_numpy(), got["r"].to_numpy()
+    off = np.abs((p * (n * r)[:, None]).sum(0) / n.sum() - targets).max()
+    assert abs(off - fit.left) < 1e-9
+    return off
 
 
 def test_a_domain_with_a_hundredth_of_the_largest_meets_its_target(spark):
