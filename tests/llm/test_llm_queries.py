@@ -38,7 +38,7 @@ def test_against_sql(spark, name):
 
 def test_all_are_registered():
     names = {n.split("_")[0] for n in __spark_entry__.queries()}
-    assert {f"op{i}" for i in range(1, 11)} | {"pipeline"} <= names
+    assert {f"op{i}" for i in range(1, 14)} | {"pipeline"} <= names
 
 
 def test_simhash_brute_force(spark):
