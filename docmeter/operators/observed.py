@@ -12,7 +12,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from docmeter.operators import retrieval, usage
 
 
-def with_counts(rows: DataFrame, name: str, **figures: Column) -> tuple[DataFrame, Observation]:
+def with_counts(rows: DataFrame, name: str, /, **figures: Column) -> tuple[DataFrame, Observation]:
     """rows, and what its next action counts of them: `.get` waits for that action. A stream's go to Figures by `name`."""
     seen = Observation(name)
     aggregates = [c.alias(k) for k, c in figures.items()]
