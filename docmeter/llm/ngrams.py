@@ -61,6 +61,20 @@ class Settings:
 # files of arrays
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return folder
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of files that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def save(folder: str, name: str, arrays: list[np.ndarray]) -> None:
     """One file of several arrays. Written beside and renamed, so a task that runs twice leaves one whole file."""
     out, ends = io.BytesIO(), []
@@ -371,9 +385,7 @@ def learn(docs: DataFrame, s: Settings = Settings()) -> Model:  # noqa: B008
     """A model of docs(text), with its files in a new folder of the shared one."""
     spark = docs.sparkSession
     small_batches(spark)
-    folder = f"{shared_folder(spark).rstrip('/')}/ngrams-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    folder = new_folder(spark, "ngrams")
     n_tokens, n_words, bits, common = learn_vocabulary(docs, folder, s)
     shards = max(1, -(-n_tokens // s.shard_tokens))
     places = (shards, common, s.shard_tokens)

@@ -7,8 +7,8 @@ turn in favour of how many different events end in the last three bytes, given t
 class has seen therefore adds nothing, and a rare one is smoothed alike in both.
 
 Counts are gathered from all labelled rows by the learning rule, and every word of the corpus gets its log-likelihood
-ratio from them: tables with a row for each different word and event, which are joined by 64-bit hashes and grow with
-the input.
+ratio from the ratios of all its events. Those are sorted arrays by 64-bit hashes in files of the shared folder, which
+workers memory-map; they grow with the input.
 
 A text's score compares the two classes' log-likelihoods per word: the mean of the words' log ratios as far as they are
 beyond `margin` on either side (words that say little either way follow style instead), then a logistic calibration on a
@@ -22,7 +22,8 @@ than doc_id and text are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmeter.llm.byteops import BASE, FOLD, Substrings, frugal, mixed, runs, text_slices
+from docmeter.llm.byteops import BASE, FOLD, Substrings, frugal, frugal_group, mixed, runs, text_slices
+from docmeter.llm.ngrams import drop_folder, new_folder, opened, save
 from docmeter.llm.shared import forget, joined, learn_fold, small_batches, table, written
 
 WORD = np.zeros(256, np.uint8)
@@ -42,7 +44,6 @@ class Settings:
     depth: int = 12
     discount: float = 0.75
     prior: float = 4.0  # pooled events that each class's counts after a context are joined by
-    least: float = 0.05  # log ratio from which an event tells the classes apart
     margin: float = 3.0
     steady: int = 50  # words without evidence that are counted to every text, so that a few words alone decide little
     calibration_part: int = 4  # one learning row in so many calibrates and is not counted
@@ -121,23 +122,58 @@ def ratios(count: DataFrame, s: Settings) -> DataFrame:
     return count.join(parents, "parent").join(backoff, "tri").withColumn("pooled", pooled).select("key", F.log(own("t", "pt", "kt") / own("o", "po", "ko")).alias("ratio"))
 
 
+def ratio_files(ratio: DataFrame, folder: str, rows: int = 1 << 20) -> int:
+    """Writes ratios(key, ratio) as sorted arrays, a file for each of 2**bits ranges of keys with about `rows` each. Returns bits."""
+    bits = max(0, (ratio.count() // rows).bit_length())
+
+    def store(group: pa.Table) -> pa.Table:
+        key = group.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        save(folder, f"ratios-{group.column('part')[0].as_py()}", [key[order], group.column("ratio").to_numpy()[order]])
+        return pa.table({"part": group.column("part").slice(0, 1)})
+
+    part = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
+    made = {r["part"] for r in ratio.withColumn("part", part).groupBy("part").applyInArrow(frugal_group(store), "part long").collect()}
+    for k in set(range(1 << bits)) - made:
+        save(folder, f"ratios-{k}", [np.zeros(0, np.uint64), np.zeros(0)])
+    return bits
+
+
+def ratios_of(key: np.ndarray, bits: int, file: Callable[[int], list[np.ndarray]]) -> np.ndarray:
+    """The ratios of events, 0 where an event has none."""
+    one, back = np.unique(key, return_inverse=True)
+    out = np.zeros(len(one))
+    part = (one >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(one), np.int64)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    for lo, hi in zip(first, np.append(first[1:], len(one)), strict=True):
+        have, ratio = file(int(part[lo]))
+        if len(have):
+            at = np.minimum(np.searchsorted(have, one[lo:hi]), len(have) - 1)
+            out[lo:hi] = np.where(have[at] == one[lo:hi], ratio[at], 0.0)
+    return out[back]
+
+
 def lexicon(found: DataFrame, s: Settings) -> DataFrame:
-    """corpus_words() -> (word, value): the log ratio of every word in which it is beyond the margin."""
+    """corpus_words() -> (word, value): the log ratio of every word in which it is beyond the margin. Every event's ratio counts: workers memory-map them all."""
     count = written(counts(found.where("t + o > 0"), s), "toxicity-counts")
-    ratio = written(ratios(count, s).where(F.abs("ratio") >= s.least), "toxicity-ratios")
+    ratio = written(ratios(count, s), "toxicity-ratios")
     forget(count)
+    folder = new_folder(found.sparkSession, "toxicity")
+    bits = ratio_files(ratio, folder)
+    forget(ratio)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = functools.cache(lambda k: opened(folder, f"ratios-{k}"))
         for batch in batches:
             word = batch.column("word").to_numpy()
             for i, j, offsets, data in text_slices(batch.column("bytes")):
                 key, _, _, which = events(data, offsets, s.depth)
-                yield pa.RecordBatch.from_arrays([pa.array(word[i:j][which]), pa.array(key.view(np.int64))], names=["word", "key"])
+                value = np.bincount(which, ratios_of(key, bits, file), j - i)
+                yield pa.RecordBatch.from_arrays([pa.array(word[i:j]), pa.array(value)], names=["word", "value"])
 
-    each = found.select("word", "bytes").mapInArrow(frugal(task), "word long, key long")
-    value = joined(each, ratio, "key").groupBy("word").agg(F.sum("ratio").alias("value"))
+    value = found.select("word", "bytes").mapInArrow(frugal(task), "word long, value double")
     out = written(value.where(F.abs("value") > s.margin), "lexicon")
-    forget(ratio)
+    drop_folder(found.sparkSession, folder)
     return out
 
 

@@ -47,12 +47,12 @@ def brute_force(s):
             return (max(c[k] - d, 0) + (d * sum(c[x] > 0 for x in family) + s.prior) * pooled) / (p + s.prior) if p else pooled  # noqa: B023
 
         ratio[k] = math.log(own(t) / own(o))
-    value = {w: sum(r for key, _ in events(w, s.depth) if abs(r := ratio.get(key, 0.0)) >= s.least) for w in words}
+    value = {w: sum(ratio.get(key, 0.0) for key, _ in events(w, s.depth)) for w in words}
     return {w: v for w, v in value.items() if abs(v) > s.margin}
 
 
 def test_word_values(spark):
-    s = toxicity.Settings(margin=0.1, least=0.01, depth=5)
+    s = toxicity.Settings(margin=0.1, depth=5)
     rows = spark.createDataFrame([(t, y) for t, y in TEXTS], "text string, counted long")
     found = toxicity.written(toxicity.corpus_words(rows), "words")
     got = {bytes(r["bytes"]): r["value"] for r in found.join(toxicity.lexicon(found, s), "word").collect()}
@@ -60,6 +60,20 @@ def test_word_values(spark):
     assert want and got.keys() == want.keys() and all(math.isclose(got[w], want[w], abs_tol=1e-9) for w in want)
 
 
+def test_ratios_from_many_files(spark):
+    import numpy as np
+    from docmeter.llm import ngrams
+
+    folder, r = ngrams.new_folder(spark, "ratios"), np.random.RandomState(0)
+    keys = np.unique(r.randint(-(1 << 62), 1 << 62, 500))
+    df = spark.createDataFrame([(int(k), float(i)) for i, k in enumerate(keys)], "key long, ratio double")
+    bits = toxicity.ratio_files(df, folder, rows=60)
+    asked = np.concatenate([keys, keys[:9], [5, 6, 7]]).astype(np.int64).view(np.uint64)
+    got = toxicity.ratios_of(asked, bits, lambda k: ngrams.opened(folder, f"ratios-{k}"))
+    assert bits >= 3 and got.tolist() == [*range(500), *range(9), 0, 0, 0]
+    assert toxicity.ratio_files(df.limit(0), folder) == 0
+
+
 def test_features_keep_every_row(spark):
     rows = spark.createDataFrame([(1, "bad bad good"), (1, "bad bad good"), (None, None), (3, "")], "doc_id long, text string")
     found = toxicity.written(toxicity.corpus_words(rows.selectExpr("text", "cast(null as long) as counted")), "words")
