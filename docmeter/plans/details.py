@@ -244,6 +244,28 @@ def m15_memory_guardrail(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.memory_guardrail(side("quality"), side("toxic")).select(F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), F.col("identical").cast("int").alias("identical"), "verdict")
 
 
+# scopes
+
+
+@query(f"""WITH {CORPUS}, {QUESTIONS}, {SPARSE}, s AS (SELECT sv.*, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM sv JOIN corpus USING (chunk_id) WHERE query_id % 4 = 0 OR kb_id = 'src' || (query_id % 20))
+SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM s WHERE rank <= 10""")
+def v3_scoped_sparse(spark: SparkSession, d: str) -> DataFrame:
+    """Sparse vectors inside the question's knowledge base; every fourth question sees all."""
+    kb = F.when(F.col("query_id") % 4 > 0, F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string"))).alias("kb_id")
+    q, c = _vectors(spark, d)
+    found = retrieval.sparse_scoped(questions(spark, d).select("*", kb), corpus(spark, d), q, c, 10, ["kb_id"])
+    return found.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("SELECT source AS kb_id, doc_id % 8 AS owner_id, count(*) AS chunks FROM documents WHERE source = 'src3' AND doc_id % 8 = 2 GROUP BY ALL UNION ALL SELECT source, NULL, count(*) FROM documents WHERE source = 'src4' GROUP BY ALL")
+def p1_scope_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Equality on what a scope names; what it leaves open is no constraint."""
+    c = corpus(spark, d)
+    both = retrieval.scope_filter(c, kb_id="src3", owner_id=2).groupBy("kb_id", "owner_id").agg(F.count("*").alias("chunks"))
+    one = retrieval.scope_filter(c, kb_id="src4").groupBy("kb_id").agg(F.count("*").alias("chunks"))
+    return both.unionByName(one.withColumn("owner_id", F.lit(None).cast("long")))
+
+
 # kept tables and files
 
 
