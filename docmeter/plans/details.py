@@ -293,6 +293,17 @@ def s10_chunk_sink(spark: SparkSession, d: str) -> DataFrame:
     return chunk_sink.read_chunks(spark, path).select("chunk_id", "kb_id", "content")
 
 
+@query("SELECT 'one' AS run, 'quality' AS metric, round(avg(quality), 6) AS value FROM labels UNION ALL SELECT 'two', 'toxic', round(avg(toxic), 6) FROM labels")
+def s18_metric_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs' metrics in one table, the first written again after a wrong value."""
+    labels, path = read(spark, d, "labels"), shared_path(spark, "metrics")
+    mean = lambda c, more=0: labels.agg((F.round(F.avg(c), 6) + more).alias("value")).select(F.lit(c).alias("metric"), "value")
+    files.write_metrics(mean("quality", 1), path, "one")
+    files.write_metrics(mean("toxic"), path, "two")
+    files.write_metrics(mean("quality"), path, "one")
+    return spark.read.parquet(path).select("run", "metric", "value")
+
+
 @query("SELECT item_id, text FROM benchmark")
 def s6_benchmark_items(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items written as JSON lines and read back by byte ranges."""
