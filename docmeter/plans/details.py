@@ -145,10 +145,10 @@ SELECT q.query_id, h.query_id AS hit_id, round(list_cosine_similarity(q.v, h.v),
 
 def _asked_again(spark: SparkSession, d: str) -> DataFrame:
     """Every vector asks, and asks again 61 ticks later a little changed; labels are knowledge bases, every eleventh question names a table."""
-    v = read(spark, d, "embeddings").select("vec_id", F.col("label").alias("kb_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    v = read(spark, d, "embeddings").select("vec_id", F.col("label").alias("kb_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"), F.col("embedding")[0].alias("head"))
     answer = lambda word: F.when(F.col("vec_id") % 5 > 0, F.concat(F.lit(word), F.col("vec_id").cast("string"))).alias("answer")
     first = v.select(F.col("vec_id").alias("query_id"), "kb_id", (F.col("vec_id") * 2).alias("at"), F.when(F.col("vec_id") % 11 == 0, "表3.1").otherwise("what").alias("question"), answer("answer "), "vector", (F.col("vec_id") % 7 == 0).alias("own_key"))
-    changed = F.concat(F.array(F.col("vector")[0] + F.lit(0.1) * (F.col("vec_id") % 6)), F.slice("vector", 2, 1 << 20)).alias("vector")
+    changed = F.concat(F.array((F.col("head") + (F.lit(0.1) * (F.col("vec_id") % 6)).cast("float")).cast("double")), F.slice("vector", 2, 1 << 20)).alias("vector")
     again = v.select((F.col("vec_id") + 1000000).alias("query_id"), "kb_id", (F.col("vec_id") * 2 + 61).alias("at"), F.lit("what").alias("question"), answer("again "), changed, (F.col("vec_id") % 7 == 3).alias("own_key"))
     return first.unionByName(again)
 
