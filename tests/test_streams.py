@@ -122,3 +122,33 @@ def test_attempt_windows_and_late_records(spark, tmp_path):
     assert len(got) == 15
     r = spark.createDataFrame([(1, T0), (2, T0 + dt.timedelta(days=3))], "id long, created_at timestamp")
     assert [x["id"] for x in streams.late_records(r, F.lit(T0 + dt.timedelta(days=2))).collect()] == [1]
+
+
+def test_limiter_reads_keys_in_order(spark):
+    """Many keys a task and keys over many Arrow batches, null keys and times too; no call of Python for each burst."""
+    r = random.Random(4)
+    rows = [(r.choice([None, *range(40)]), None if i % 50 == 0 else T0 + dt.timedelta(seconds=r.randrange(40_000)), i) for i in range(1500)]
+    want, held = {}, {}
+    for k, at, i in sorted(rows, key=lambda x: (x[1] or T0 - dt.timedelta(1), x[2])):
+        mine = [h for h in held.get(k, []) if at and h > at - dt.timedelta(seconds=900)]
+        want[i] = at is None or len(mine) < 2
+        if at:
+            held[k] = mine + [at] * want[i]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = streams.limiter(spark.createDataFrame(rows, "key long, at timestamp, id long"), 2, 900)
+        got = {x["id"]: x["allowed"] for x in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and set(want.values()) == {True, False}
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+
+
+def test_drained_through_files(spark, tmp_path):
+    """What a stream puts out is read from files, not from a table in the driver."""
+    spark.range(50).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+    out = streams.drained(stream.where("id >= 10"), "append")
+    assert out.count() == 40 and out.inputFiles()
+    assert [x["n"] for x in streams.drained(stream.agg(F.count("*").alias("n")), "complete").collect()] == [50]
+    assert streams.drained(stream.where("id < 0"), "append").count() == 0
