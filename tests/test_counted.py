@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docmeter.operators import conversation, evaluation, hooks, observed, retrieval
 from docmeter.operators.kept import in_order
+from docmeter.plans import details
 from docmeter.streaming import streams
 
 T0 = dt.datetime(2024, 1, 1)
@@ -150,3 +151,10 @@ def test_embedding_is_tried_again(spark):
     for bad in ([0, 0], [0, 2]):
         with pytest.raises(ValueError, match="indexes"):
             retrieval.in_index_order([{"index": i, "embedding": [1.0]} for i in bad], 2)
+
+
+def test_questions_asked_again_are_single_precision(spark, sf):
+    """As in the SQL, whose float plus decimal is a float."""
+    first = {x["vec_id"]: x["embedding"][0] for x in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    again = {x["query_id"] - 1000000: x["vector"][0] for x in details._asked_again(spark, sf).where("query_id >= 1000000").collect()}
+    assert again == {i: float(np.float32(v) + np.float32(0.1 * (i % 6))) for i, v in first.items()}
