@@ -11,11 +11,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmeter.functions import text
-from docmeter.operators.retrieval import BM25_B, FLOOR, K1, small, top_k
+from docmeter.operators.retrieval import BM25_B, FLOOR, K1, coded_structs, small, weighted_top_k
 from docmeter.sources.folders import exists
 
 BUCKETS = 64
@@ -56,8 +58,8 @@ def change(spark: SparkSession, path: str, batch: str, added: DataFrame | None =
     posts, chunks = [], []
     if before and gone is not None:
         gone = small(gone)
-        posts.append(_net(_table(spark, path, "postings", before), "term", "chunk_id", "tf", "dl", *scope).join(gone, "chunk_id", "left_semi").withColumn("sign", F.lit(-1)))
-        chunks.append(_net(_table(spark, path, "chunks", before), "chunk_id", "dl").join(gone, "chunk_id", "left_semi").withColumn("sign", F.lit(-1)))
+        posts.append(_net(_table(spark, path, "postings", before).join(gone, "chunk_id", "left_semi"), "term", "chunk_id", "tf", "dl", *scope).withColumn("sign", F.lit(-1)))
+        chunks.append(_net(_table(spark, path, "chunks", before).join(gone, "chunk_id", "left_semi"), "chunk_id", "dl").withColumn("sign", F.lit(-1)))
     if news is not None:
         words = news.select("chunk_id", *scope, text.terms("content").alias("w")).withColumn("dl", F.size("w"))
         posts.append(words.select("chunk_id", *scope, "dl", F.explode("w").alias("term")).groupBy("term", "chunk_id", "dl", *scope).agg(F.count("*").alias("tf")).withColumn("sign", F.lit(1)))
@@ -96,20 +98,28 @@ def stats(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def search(questions: DataFrame, path: str, k: int = 20, scope: tuple[str, ...] = ()) -> DataFrame:
-    """questions(query_id, query, scope...) over the kept index. A null scope value sees all chunks."""
+    """questions(query_id, query, scope...) over the kept index. A null scope value sees all chunks.
+
+    The postings of the questions' terms are dealt by chunk, and each task keeps its k best chunks of every question: no pair
+    of a question and a chunk is shuffled.
+    """
     spark = questions.sparkSession
     idf, sums = stats(spark, path)
-    asked = questions.select("query_id", *(F.col(c).alias(f"q_{c}") for c in scope), F.explode(text.terms("query")).alias("term")).groupBy("query_id", *(f"q_{c}" for c in scope), "term").agg(F.count("*").alias("times")).withColumn("bucket", bucket(_buckets(spark, path)))
+    avgdl = sums.first()["avgdl"] or 1.0
+    asked = questions.select("query_id", *scope, F.explode(text.terms("query")).alias("term")).groupBy("query_id", *scope, "term").agg(F.count("*").alias("times")).withColumn("bucket", bucket(_buckets(spark, path)))
     asked_buckets = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # a number a bucket
     posts = _table(spark, path, "postings", _batches(spark, path)).where(F.col("bucket").isin(asked_buckets))
     met = posts.join(small(asked.select("bucket", "term").distinct()), ["bucket", "term"])
-    net = _net(met, "bucket", "term", "chunk_id", "tf", "dl", *scope)
-    both = net.join(small(asked.join(idf.where(F.col("bucket").isin(asked_buckets)), ["bucket", "term"])), ["bucket", "term"])
-    for c in scope:
-        both = both.where(F.col(f"q_{c}").isNull() | (F.col(f"q_{c}") == F.col(c)))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    scored = both.join(F.broadcast(sums), how="cross").groupBy("query_id", "chunk_id").agg(F.sum(F.col("times") * weight).alias("score"))
-    return top_k(scored.where(F.round("score", 9) != 0), k, ["query_id"])
+    net = _net(met.select("term", "chunk_id", "tf", "dl", "sign", *scope).repartition("chunk_id"), "chunk_id", "term", "tf", "dl", *scope)
+    chunks = net.groupBy("chunk_id", "dl", *scope).agg(F.collect_list(F.struct("term", "tf")).alias("v"))
+    weights = asked.join(idf.where(F.col("bucket").isin(asked_buckets)), ["bucket", "term"]).select("query_id", *scope, F.col("term").alias("dim"), (F.col("times") * F.col("idf")).alias("w"))
+
+    def entries(batch: pa.RecordBatch, dims: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, code, own = coded_structs(batch.column("v"), "term", dims)
+        tf, dl = own.field("tf").to_numpy(zero_copy_only=False), batch.column("dl").to_numpy(zero_copy_only=False)
+        return row, code, tf * (K1 + 1) / (tf + K1 * (1 - BM25_B + BM25_B * dl[row] / avgdl))
+
+    return weighted_top_k(weights, chunks, k, entries, list(scope), 9)
 
 
 def compact(spark: SparkSession, path: str, into: str) -> None:

@@ -78,3 +78,14 @@ def test_last_write_of_a_batch(spark, tmp_path):
     df = spark.createDataFrame([("c", "k", "one", 1), ("c", "k", "two", 2)], "chunk_id string, kb_id string, content string, seq int")
     chunk_sink.upsert(df, str(tmp_path / "c"), "seq")
     assert [r["content"] for r in chunk_sink.read_chunks(spark, str(tmp_path / "c")).collect()] == ["two"]
+
+
+def test_search_shuffles_no_pairs(spark, tmp_path):
+    """B2: tasks keep their best chunks of every question; postings alone are dealt."""
+    c = spark.createDataFrame([(i, f"alpha w{i % 5} " * (i % 3 + 1)) for i in range(40)] + [(40, None)], "chunk_id long, content string")
+    q = spark.createDataFrame([(1, "alpha w3 w3"), (2, "none"), (3, "w1 none alpha")], "query_id long, query string")
+    path = str(tmp_path / "i")
+    kept_index.change(spark, path, "1", c)
+    found = kept_index.search(q, path, 6)
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    assert rows(found.select("query_id", "chunk_id", "rank", "score")) == rows(retrieval.bm25(q, c, 6).select("query_id", "chunk_id", "rank", "score"))
