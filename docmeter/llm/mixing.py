@@ -66,7 +66,9 @@ def classifier(documents: DataFrame, labelled: DataFrame, domains: list[str], s:
 def posteriors(documents: DataFrame, weights: DataFrame, prior: list[float], s: Settings) -> DataFrame:
     """documents(doc_id, text) -> (doc_id, hash, n_tokens, times, p): p sums to 1."""
     k = len(prior)
-    docs = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.posexplode_outer(words("text")).alias("nth", "word"))
+    # the hash is made before the words are parted: beside posexplode Spark would hash the whole text again for each word
+    each = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), words("text").alias("words"))
+    docs = each.select("doc_id", "hash", F.posexplode_outer("words").alias("nth", "word"))
     # a text's first word, or the null in place of words, stands for the row
     cells = docs.select("doc_id", "hash", (F.coalesce("nth", F.lit(0)) == 0).cast("int").alias("row"), F.when(F.col("word").isNotNull(), _cell(F.col("word"), s)).alias("cell"))
     met = cells.join(F.broadcast(weights.select("cell", *(F.col("weights")[i].alias(f"l{i}") for i in range(k)))), "cell", "left")  # `cells` rows

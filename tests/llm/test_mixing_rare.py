@@ -29,3 +29,13 @@ def test_a_domain_with_a_hundredth_of_the_largest_meets_its_target(spark):
 def test_targets_out_of_reach_are_reported(spark):
     with pytest.warns(UserWarning, match="targets are not met"):
         assert left(members(spark, [300, 30, 10], 0.6), [0.98, 0.01, 0.01]) > 1e-4
+
+
+def test_texts_are_not_carried_beside_their_words(spark, capsys):
+    docs = spark.createDataFrame([(1, "some words"), (1, "some words"), (2, None)], "doc_id long, text string")
+    weights = spark.createDataFrame([(c, [-8.0, -9.0]) for c in range(4096)], "cell int, weights array<double>")
+    found = mixing.posteriors(docs, weights, [-0.7, -0.7], mixing.Settings())
+    assert [(r["doc_id"], r["n_tokens"], r["times"]) for r in found.orderBy("doc_id").collect()] == [(1, 2.0, 2), (2, 0.0, 1)]
+    found.explain()
+    generate = next(line for line in capsys.readouterr().out.splitlines() if "Generate posexplode" in line)
+    assert "text#" not in generate.split("),", 1)[1]
