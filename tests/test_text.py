@@ -72,3 +72,22 @@ def test_intents(spark, question, kind, refs):
     q = F.lit(question)
     row = spark.range(1).select(intents.enumeration(q).alias("k"), intents.references(q).alias("r"), intents.exempt(q).alias("e")).first()
     assert (row["k"], row["r"], row["e"]) == (kind, refs, bool(kind or refs))
+
+
+def test_texts_reach_python_in_small_batches(spark, sf):
+    import pandas as pd
+    from docmeter.plans import catalogue
+
+    @F.pandas_udf("int")
+    def rows(t: pd.Series) -> pd.Series:
+        return pd.Series([len(t)] * len(t))
+
+    before = {k: spark.conf.get(k) for k in text.BATCH}
+    try:
+        catalogue.QUERIES["f2_spellings"](spark, sf)
+        most = lambda n, letters: spark.range(0, n, 1, 1).select(rows(F.repeat(F.lit("x"), letters)).alias("n")).agg(F.max("n")).first()[0]
+        assert most(3000, 10) == 1000
+        assert most(300, 100_000) <= 50
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
