@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmeter.llm import decontaminate, mixing, quality, simhash, suffix_dedup
-from docmeter.llm.shared import forget, joined, table, written
+from docmeter.llm.shared import forget, joined, scratch, table, written
 
 ROW, NTH = "carried_row", "carried_nth"
 
@@ -93,10 +93,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written and read again. What a stage wrote on its way goes when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        last, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as made:
+            last, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(*(t for t in made if t is not docs))
         if name != STAGES[0][0]:
             forget(last)
     return docs

@@ -1,12 +1,13 @@
 """The stages against brute force on a small table, and their order."""
 
 import re
+from pathlib import Path
 
 import pandas as pd
 
 import corpus_pipeline
 from docmeter.llm import quality
-from docmeter.llm.shared import table, written
+from docmeter.llm.shared import shared_folder, table, written
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -58,3 +59,16 @@ def test_stages(spark):
         else:
             assert set(after["doc_id"]) == set(before["doc_id"]) and (after["rate"] >= 0).all() and (after["copies"] >= 0).all()
         docs, before = kept, after
+
+
+def test_run_leaves_only_its_last_table(spark, monkeypatch):
+    def stage(spark, docs, sf_dir):
+        counts = written(docs.groupBy("doc_id").count(), "counts")
+        return docs.join(counts.select("doc_id"), "doc_id", "left_semi")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage), ("three", stage)])
+    folder = Path(shared_folder(spark))
+    before = set(folder.iterdir())
+    out = corpus_pipeline.run(spark, SMALL)
+    assert out.count() == table(spark, SMALL, "documents").count()
+    assert [p.name[:11] for p in set(folder.iterdir()) - before] == ["stage-three"]
