@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from docmeter.operators import kept_index, retrieval
+from docmeter.operators.kept import dealt
 from docmeter.sources import chunk_sink
 
 
@@ -89,3 +90,19 @@ def test_search_shuffles_no_pairs(spark, tmp_path):
     found = kept_index.search(q, path, 6)
     assert "MapInArrow" in found._jdf.queryExecution().toString()
     assert rows(found.select("query_id", "chunk_id", "rank", "score")) == rows(retrieval.bm25(q, c, 6).select("query_id", "chunk_id", "rank", "score"))
+
+
+def test_rows_of_one_row_group_are_dealt_to_all_cores(spark, tmp_path):
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    tasks = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(tasks(one)) == 1
+    found = dealt(one, "doc_id")
+    assert found.count() == 30_000 and found.exceptAll(one).isEmpty()
+    assert max(tasks(found)) < 30_000 / 2
+    rows.repartition(8).write.parquet(f"{tmp_path}/many")
+    many = spark.read.parquet(f"{tmp_path}/many")
+    assert dealt(many, "doc_id") is many
+    few = one.limit(100)
+    assert dealt(few, "doc_id") is few
