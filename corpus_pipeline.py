@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmeter.llm import decontaminate, mixing, quality, simhash, suffix_dedup
-from docmeter.llm.shared import forget, joined, scratch, table, written
+from docmeter.llm.shared import forget, joined, scratch, settled, table, written
 
 ROW, NTH = "carried_row", "carried_nth"
 
@@ -45,8 +45,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.similar(docs.select("doc_id", "text"))
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    first = settled(spark, lambda: simhash.similar(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct(), "firsts")
     once = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     kept = joined(docs, first, "doc_id", "left_semi")
     if once.isEmpty():

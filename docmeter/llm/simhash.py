@@ -32,11 +32,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmeter.llm.byteops import FOLD, frugal, text_slices
+from docmeter.llm.byteops import FOLD, frugal, frugal_group, text_slices
 from docmeter.llm.components import components
 from docmeter.llm.shared import forget, joined, small_batches, table, written
 
@@ -290,6 +291,7 @@ class Similar:
     leaders: int = 4  # members of a large bucket that all others are compared with before its pairs
     sample: int = 16  # one text in so many is looked at for the order of the shingles
     frequent: int = 1 << 18  # shingles at most that the order puts last
+    group: int = 1 << 20  # shingles about that are sorted in one piece
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -324,19 +326,14 @@ def parities(shingles: np.ndarray, bits: int = 1024) -> bytes:
     return np.packbits(np.bincount(cell, minlength=bits) & 1).tobytes()
 
 
-def prefix(shingles: np.ndarray, often: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """First shingles in the global order (frequent ones last, then by hash), one of which every set of the similarity shares.
-
-    A set as similar holds at least similarity * n of the n, so it cannot miss all of these.
-    """
-    n = len(shingles)
-    if not n:
-        return shingles
-    size = n - math.ceil(similarity * n - 1e-9) + 1
+def frequent_of(shingles: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a set's shingles are among the frequent ones, and these by their count and hash."""
     token, count = often
-    place = np.minimum(np.searchsorted(token, shingles), max(len(token) - 1, 0))
-    rank = np.where(token[place] == shingles, count[place], 0) if len(token) else np.zeros(n, np.int64)
-    return shingles[np.argsort(rank, kind="stable")[:size]]
+    if not len(token):
+        return np.zeros(len(shingles), bool), shingles[:0]
+    place = np.minimum(np.searchsorted(token, shingles), len(token) - 1)
+    is_one = token[place] == shingles
+    return is_one, shingles[is_one][np.argsort(count[place[is_one]], kind="stable")]
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
@@ -367,6 +364,67 @@ def frequent_shingles(texts: DataFrame, s: Similar) -> tuple[np.ndarray, np.ndar
     return rows.column("token").to_numpy(), rows.column("n").to_numpy()
 
 
+def shared_shingles(texts: DataFrame, often: Broadcast, s: Similar, parts: int) -> DataFrame:
+    """(node, key, df): the shingles, frequent ones left out, that more than one set holds, with the number of these sets.
+
+    Shingles are dealt by hash into `parts` groups, a row a group and some texts, and each group is sorted in one piece.
+    No shingle makes a group large, as those that many sets hold are left out; the others that a set has alone stay there.
+    """
+
+    def dealt(sets: list[np.ndarray]) -> pa.RecordBatch:
+        token, node = np.concatenate(sets), np.repeat(np.array([set_key(x) for x in sets], np.int64), [len(x) for x in sets])
+        rare = ~frequent_of(token, often.value)[0]
+        token, node = token[rare], node[rare]
+        part = (token.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part, token, node = part[order], token[order], node[order]
+        at = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = [*at[1:].tolist(), len(part)]
+        cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(at.tolist(), ends, strict=True)] if len(at) else [], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(part[at]), cut(token), cut(node)], names=["part", "token", "node"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for _, sets in _sets(batches, s.width):
+            held += sets
+            size += sum(map(len, sets))
+            if size >= 1 << 19:
+                yield dealt(held)
+                held, size = [], 0
+        if held:
+            yield dealt(held)
+
+    def met(group: pa.Table) -> pa.Table:
+        token, node = (np.frombuffer(b"".join(group.column(c).to_pylist()), np.int64) for c in ("token", "node"))
+        order = np.lexsort((node, token))
+        token, node = token[order], node[order]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])  # equal sets are one
+        token, node = token[new], node[new]
+        df = np.diff(np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token)))
+        df = np.repeat(df, df)
+        return pa.table({"node": node[df > 1], "key": token[df > 1], "df": df[df > 1].astype(np.int32)})
+
+    return texts.mapInArrow(frugal(task), "part int, token binary, node binary").groupBy("part").applyInArrow(frugal_group(met), "node long, key long, df int")
+
+
+def prefixes(first: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
+    """(node, n, i, key): first shingles of each set of first(node, n, n_frequent, frequent) in one global order, and their places.
+
+    A set of n has at least similarity * n in common with one as similar, so the two share one of its n - ceil(similarity * n) + 1
+    first ones. The order is by the number of sets (those of a single set first, which nothing can share, so that they are
+    only counted), then by hash; frequent ones come last, by their count in the sample.
+    """
+    own = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("own"))
+    both = first.join(own, "node", "left").withColumn("own", F.coalesce(F.col("own.key"), F.array().cast("array<long>")))
+    both = both.withColumn("alone", F.col("n") - F.col("n_frequent") - F.size("own"))
+    both = both.withColumn("left", (F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1 - F.col("alone")).cast("int"))
+    some = lambda c, size: F.slice(c, F.lit(1), F.greatest(size, F.lit(0)))
+    keys = F.concat(some("own", F.col("left")), some("frequent", F.col("left") - F.size("own")))
+    return both.where("left > 0").select("node", "n", "alone", F.posexplode(keys).alias("at", "key")).select("node", "n", (F.col("alone") + F.col("at")).alias("i"), "key")
+
+
 def _may_be(n: str, i: str, m: str, j: str, similarity: float) -> F.Column:
     """Whether sets of n and m shingles whose first common one is at places i and j (from 0) can be as similar."""
     a, b = F.col(n), F.col(m)
@@ -474,7 +532,7 @@ def similar(documents: DataFrame, s: Similar = Similar()) -> DataFrame:  # noqa:
     fingerprints of the sets link at `distance` or fewer differing bits (the search above), and whole sets verify the
     links. The fingerprints of a similar pair can lie further apart, so a second search looks for the pairs that these
     links have not joined: a set of n shingles goes to the buckets of its n - ceil(similarity * n) + 1 first ones in one
-    global order, frequent ones last; two sets of the similarity always share one of these. One member of each bucket, or
+    global order, by the number of sets that hold them, all counted; two sets of the similarity always share one of these. One member of each bucket, or
     several ones after each other if buckets stay large, is compared with the others first, so that a group of copies gets
     one root; then members with different roots are compared pair by pair, in buckets of any size. Pairs are left
     out only if their sizes, the place of their common shingle or the parities of their cells rule the similarity out.
@@ -486,13 +544,14 @@ def similar(documents: DataFrame, s: Similar = Similar()) -> DataFrame:  # noqa:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _sets(batches, s.width):
-            firsts = [prefix(x, often.value, s.similarity) for x in sets]
-            ends = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
+            usual = [frequent_of(x, often.value)[1] for x in sets]
+            some = [x[: len(y) - math.ceil(s.similarity * len(y) - 1e-9) + 1] for x, y in zip(usual, sets, strict=True)]
+            ends = np.cumsum([0, *map(len, some)], dtype=np.int32)
             node, fp = (pa.array([f(x) for x in sets], pa.int64()) for f in (set_key, set_print))
-            columns = {"doc_id": ids, "node": node, "fp": fp, "n": pa.array([len(x) for x in sets], pa.int32()), "parities": pa.array([parities(x) for x in sets], pa.binary()), "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))}
+            columns = {"doc_id": ids, "node": node, "fp": fp, "n": pa.array([len(x) for x in sets], pa.int32()), "parities": pa.array([parities(x) for x in sets], pa.binary()), "n_frequent": pa.array([len(x) for x in usual], pa.int32()), "frequent": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(some)))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    prints = written(own.mapInArrow(frugal(task), "doc_id long, node long, fp long, n int, parities binary, prefix array<long>"), "prefixes")
+    prints = written(own.mapInArrow(frugal(task), "doc_id long, node long, fp long, n int, parities binary, n_frequent int, frequent array<long>"), "prints")
     first = written(prints.groupBy("node").agg(F.min(F.struct("doc_id", "fp", "n", "parities")).alias("f")).select("node", "f.*"), "texts")
 
     least = first.groupBy("fp").agg(F.min("node").alias("least"))
@@ -503,10 +562,12 @@ def similar(documents: DataFrame, s: Similar = Similar()) -> DataFrame:  # noqa:
     groups = components(_verified(equal.union(near), own, first, s))
 
     # one text of each set (repeated rows come back repeatedly, which only repeats a pair)
-    chosen = prints.join(first.select("doc_id", "node"), ["doc_id", "node"], "left_semi")
-    places = chosen.select("node", "n", F.posexplode("prefix").alias("i", "key"))
+    chosen = prints.join(first.select("doc_id", "node"), ["doc_id", "node"], "left_semi").select("node", "n", "n_frequent", "frequent").dropDuplicates(["node"])
+    parts = max(1, (prints.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0) // s.group)
+    places = written(prefixes(chosen, shared_shingles(own, often, s, parts), s.similarity), "places")
     shared = places.select("key").groupBy("key").count().where("count > 1").select("key")
     buckets = written(_rooted(places.join(shared, "key"), groups).select("key", "node", "n", "i", "root"), "buckets")
+    forget(places)
     as_links = lambda found: groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
     for nth in range(s.leaders):
         leader = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(nth)), "node", "n", "i", "root")).alias("l")).select("key", F.col("l.node").alias("a"), F.col("l.n").alias("m"), F.col("l.i").alias("j"), F.col("l.root").alias("other"))

@@ -72,3 +72,11 @@ def test_run_leaves_only_its_last_table(spark, monkeypatch):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.count() == table(spark, SMALL, "documents").count()
     assert [p.name[:11] for p in set(folder.iterdir()) - before] == ["stage-three"]
+
+
+def test_near_duplicates_leaves_one_table(spark):
+    folder = Path(shared_folder(spark))
+    before = set(folder.iterdir())
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, table(spark, SMALL, "documents"), SMALL)
+    assert [p.name[:6] for p in set(folder.iterdir()) - before] == ["firsts"]
+    assert kept.count() > 0

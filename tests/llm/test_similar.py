@@ -53,3 +53,25 @@ def test_appended_and_scattered_edits_all_meet(spark):
     want = brute_force(rows)
     assert sum(want[2 * k + 1] == 2 * k for k in range(60) if k % 3 < 2) >= 30
     assert found(spark, rows, simhash.Similar()) == want
+
+
+def test_texts_that_share_little_meet_nowhere(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    s = simhash.Similar()
+    shared = [" ".join(f"common{j}x{k}" for k in range(8)) for j in range(10)]
+    rows = [(i, " ".join([shared[i % 10], *(f"own{i}x{k}" for k in range(40))])) for i in range(60)]
+    rows += [(100, " ".join(f"near{k}" for k in range(50))), (101, " ".join(f"near{k}" for k in range(49)))]
+    texts = spark.createDataFrame(rows, SCHEMA)
+    sets = {i: simhash.shingle_set(t.encode(), s.width) for i, t in rows}
+    often = spark.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    found = simhash.shared_shingles(texts, often, s, 3)
+    count = {}
+    for x in sets.values():
+        for token in x.tolist():
+            count[token] = count.get(token, 0) + 1
+    assert {(r["key"], r["df"]) for r in found.collect()} == {c for c in count.items() if c[1] > 1}
+    first = spark.createDataFrame([(simhash.set_key(x), len(x), 0) for x in sets.values()], "node long, n int, n_frequent int").withColumn("frequent", F.array().cast("array<long>"))
+    places = simhash.prefixes(first, found, s.similarity).collect()
+    assert {r["node"] for r in places} == {simhash.set_key(sets[i]) for i in (100, 101)}
