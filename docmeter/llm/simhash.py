@@ -472,6 +472,7 @@ def block_pairs(members: pa.ListArray, same_block: np.ndarray, similarity: float
     """Pairs of members of each bucket with different roots that can be as similar; of members of one block or of two."""
     flat = members.flatten()
     node, n, i, root, block = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("node", "n", "i", "root", "block"))
+    odd = np.frombuffer(b"".join(flat.field("parities").to_pylist()), np.uint64).reshape(len(node), -1) if len(node) else np.zeros((0, 16), np.uint64)
     size = members.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     start = np.cumsum(size) - size
 
@@ -479,6 +480,12 @@ def block_pairs(members: pa.ListArray, same_block: np.ndarray, similarity: float
         x, y = n[p].astype(float), n[q].astype(float)
         may = (root[p] != root[q]) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9)
         may &= np.minimum(x - i[p], y - i[q]) >= similarity / (1 + similarity) * (x + y) - 1e-9
+        p, q = p[may], q[may]
+        may = np.ones(len(p), bool)
+        for k in range(0, len(p), 1 << 15):
+            x, y = p[k : k + (1 << 15)], q[k : k + (1 << 15)]
+            differ = np.bitwise_count(odd[x] ^ odd[y]).sum(1, dtype=np.int64)
+            may[k : k + (1 << 15)] = differ <= (n[x] + n[y]) * (1 - similarity) / (1 + similarity) + 1e-9
         x, y = node[p[may]], node[q[may]]
         return np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)
 
@@ -495,7 +502,7 @@ def block_pairs(members: pa.ListArray, same_block: np.ndarray, similarity: float
 
 
 def _bucket_pairs(buckets: DataFrame, s: Similar) -> DataFrame:
-    """buckets(key, node, n, i, root) -> pairs (a, b) of every bucket's members that have different roots and can be as similar.
+    """buckets(key, node, n, i, root, parities) -> pairs (a, b) of every bucket's members that have different roots and can be as similar.
 
     A bucket with more than `bucket` members is cut into blocks, and each two blocks make a row, so that every pair is
     compared and no row grows with the bucket.
@@ -504,14 +511,14 @@ def _bucket_pairs(buckets: DataFrame, s: Similar) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same = batch.column("lo").to_numpy() == batch.column("hi").to_numpy()
-            for k in range(0, batch.num_rows, 1024):
-                pairs = np.concatenate([np.zeros((0, 2), np.int64), *block_pairs(batch.column("members").slice(k, 1024), same[k : k + 1024], s.similarity)])
+            for k in range(0, batch.num_rows, 64):
+                pairs = np.concatenate([np.zeros((0, 2), np.int64), *block_pairs(batch.column("members").slice(k, 64), same[k : k + 64], s.similarity)])
                 pairs = np.unique(pairs, axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     size = buckets.groupBy("key").agg(F.ceil(F.count("*") / s.bucket).cast("int").alias("blocks"))
     dealt = buckets.join(size, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    to = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.struct("node", "n", "i", "root", "block").alias("m"))
+    to = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.struct("node", "n", "i", "root", "block", "parities").alias("m"))
     return to.groupBy("key", "lo", "hi").agg(F.collect_list("m").alias("members")).select("lo", "hi", "members").mapInArrow(frugal(task), "a long, b long").distinct()
 
 
@@ -578,7 +585,7 @@ def similar(documents: DataFrame, s: Similar = Similar()) -> DataFrame:  # noqa:
         size = buckets.groupBy("key").count().agg(F.sum("count").alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs")).first()
         if (size["pairs"] or 0) <= 16 * (size["n"] or 0):
             break
-    more = _verified(_bucket_pairs(buckets, s), own, first, s)
+    more = _verified(_bucket_pairs(buckets.join(first.select("node", "parities"), "node"), s), own, first, s)
     forget(buckets)
     groups = groups if more.isEmpty() else components(as_links(more))
     named = _rooted(first.select("node", "doc_id"), groups)

@@ -75,3 +75,14 @@ def test_texts_that_share_little_meet_nowhere(spark):
     first = spark.createDataFrame([(simhash.set_key(x), len(x), 0) for x in sets.values()], "node long, n int, n_frequent int").withColumn("frequent", F.array().cast("array<long>"))
     places = simhash.prefixes(first, found, s.similarity).collect()
     assert {r["node"] for r in places} == {simhash.set_key(sets[i]) for i in (100, 101)}
+
+
+def test_block_pairs_leave_out_what_parities_rule_out():
+    import numpy as np
+    import pyarrow as pa
+
+    near, far = np.arange(100, dtype=np.int64) << 54, (np.arange(100, dtype=np.int64) + 200) << 54
+    one = lambda node, x: {"node": node, "n": 100, "i": 0, "root": node, "block": 0, "parities": simhash.parities(x)}
+    members = pa.array([[one(1, near), one(2, near), one(3, far)]])
+    found = np.concatenate(list(simhash.block_pairs(members, np.array([True]), 0.8)))
+    assert found.tolist() == [[1, 2]]
